@@ -31,23 +31,23 @@ def tokens(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), _TOKEN_GAP, " ")), " ")
 
 
-def _seeds(rows: DataFrame, toks: str, keep: list[str]) -> DataFrame:
+def _tokenised(rows: DataFrame, *keep: Column) -> DataFrame:
+    """``keep``, _words and the hash of each word."""
+    return rows.select(*keep, tokens(F.col("text")).alias("_words")).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+
+
+def _seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, at (from 0) and seed: a row per window and mask, null where the mask is too wide.
 
     The outer form of explode keeps the optimiser from tokenising once more to filter its input.
     """
-    shortest = min(map(len, MASKS))
-    at = F.explode_outer(F.when(F.size(toks) >= shortest, F.sequence(F.lit(0), F.size(toks) - shortest))).alias("at")
-    windows = rows.select(*{*keep, toks}, at)
-    hashed = [F.when(F.col("at") + len(m) <= F.size(toks), F.xxhash64(F.lit(k), *(F.get(toks, F.col("at") + i) for i, c in enumerate(m) if c == "1"))) for k, m in enumerate(MASKS)]
+    n, shortest = F.size("_hashes"), min(map(len, MASKS))
+    at = F.explode_outer(F.when(n >= shortest, F.sequence(F.lit(0), n - shortest))).alias("at")
+    windows = rows.select(*{*keep, "_hashes"}, at)
+    hashed = [F.when(F.col("at") + len(m) <= n, F.xxhash64(F.lit(k), *(F.get("_hashes", F.col("at") + i) for i, c in enumerate(m) if c == "1"))) for k, m in enumerate(MASKS)]
     return windows.select(*keep, "at", F.explode(F.array(*hashed)).alias("seed"))
 
 
-def _agreement(doc: Column, item: Column, shift: Column) -> Column:
-    """Array over the item's tokens: 1 where the text's token at the same place agrees, else 0."""
-    return F.transform(item, lambda w, i: F.when((i + shift >= 0) & (F.get(doc, F.greatest(i + shift, F.lit(0))) == w), 1).otherwise(0))
-
-
 def _best(agree: Column, width: Column) -> Column:
     """Most agreements in a stretch of ``width`` tokens."""
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
@@ -55,28 +55,35 @@ def _best(agree: Column, width: Column) -> Column:
 
 
 def _verified(hits: DataFrame, least: int, share: float) -> DataFrame:
-    """Rows (_id, item_id, _words, _item, shift) whose alignment holds: doc_id, item_id, n_agree, stretch."""
+    """Hits (_id, item_id, _item, shift, _part) that hold: doc_id, item_id, n_agree, best.
+
+    _part: the text's tokens beside the item's, from the larger of 0 and shift. Many hits share an
+    alignment, which is compared once; only those few tokens are shuffled.
+    """
+    once = hits.groupBy("_id", "item_id", F.xxhash64("_item").alias("_as"), "shift", F.xxhash64("_part").alias("_beside")).agg(F.first("_item").alias("_item"), F.first("_part").alias("_part"))
+    lead = F.greatest(-F.col("shift"), F.lit(0))
+    agree = F.transform("_item", lambda w, i: F.when((i >= lead) & (F.get("_part", F.greatest(i - lead, F.lit(0))) == w), 1).otherwise(0))
     width = F.least(F.lit(least), F.size("_item"))
-    seen = hits.withColumn("_agree", _agreement(F.col("_words"), F.col("_item"), F.col("shift")))
-    seen = seen.select(F.col("_id").alias("doc_id"), "item_id", width.alias("stretch"), F.aggregate("_agree", F.lit(0), lambda a, x: a + x).alias("n_agree"), _best(F.col("_agree"), width).alias("best"))
+    seen = once.withColumn("_agree", agree).select(F.col("_id").alias("doc_id"), "item_id", width.alias("stretch"), F.aggregate("_agree", F.lit(0), lambda a, x: a + x).alias("n_agree"), _best(F.col("_agree"), width).alias("best"))
     return seen.where(F.col("best") >= F.ceil(F.lit(share) * F.col("stretch"))).select("doc_id", "item_id", "n_agree", "best")
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """A row per document and item it overlaps: doc_id, item_id, n_agree (most tokens of the item
     that agree on one alignment), best (most in a stretch of ``least``)."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("_item")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), tokens(F.col("text")).alias("_words"))
-    of_items = _seeds(items, "_item", ["item_id", "_item"]).withColumnRenamed("at", "item_at").where("seed IS NOT NULL")
-    shift = (F.col("at") - F.col("item_at")).alias("shift")
-    small = of_items.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    if small:
-        hits = _seeds(rows, "_words", ["_id", "_words"]).join(F.broadcast(of_items), "seed").select("_id", "item_id", "_words", "_item", shift)
+    items = _tokenised(benchmark, F.col("item_id").cast("long").alias("item_id")).withColumnRenamed("_words", "_item")
+    of_items = _seeds(items, ["item_id", "_item"]).withColumnRenamed("at", "item_at").where("seed IS NOT NULL")
+    rows = _tokenised(docs, F.col("doc_id").cast("long").alias("_id"))
+    shift = F.col("at") - F.col("item_at")
+    part = F.slice("_words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("_item")).alias("_part")
+    if of_items.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+        met = _seeds(rows, ["_id", "_words"]).join(F.broadcast(of_items), "seed").withColumn("shift", shift)
+        hits = met.select("_id", "item_id", "_item", "shift", part)
     else:
-        rows = rows.withColumn("_hash", F.xxhash64("_words"))
-        met = _seeds(rows, "_words", ["_id", "_hash"]).join(of_items, "seed").select("_id", "_hash", "item_id", "_item", shift).distinct()
-        met = met.withColumnsRenamed({"_id": "_of", "_hash": "_as"})
-        hits = met.join(rows, met["_of"].eqNullSafe(rows["_id"]) & (met["_as"] == rows["_hash"])).select("_id", "item_id", "_words", "_item", "shift")
+        met = _seeds(rows.withColumn("_hash", F.xxhash64("_words")), ["_id", "_hash"]).join(of_items, "seed")
+        met = met.select(F.col("_id").alias("_of"), F.col("_hash").alias("_as"), "item_id", "_item", shift.alias("shift")).distinct()
+        back = rows.select("_id", "_words")
+        hits = met.join(back, met["_of"].eqNullSafe(back["_id"]) & (met["_as"] == F.xxhash64(back["_words"]))).select("_id", "item_id", "_item", "shift", part)
     return _verified(hits, least, share).groupBy("doc_id", "item_id").agg(F.max("n_agree").alias("n_agree"), F.max("best").alias("best"))
 
 
