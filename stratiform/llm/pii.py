@@ -150,12 +150,16 @@ def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii", kind
     return docs.withColumn(out_col, spans)
 
 
+def _shown(found: Column, kind: Kind) -> Column:
+    return F.transform(found, lambda m: F.when(kind.valid(m), F.lit(f"<{kind.name}>")).otherwise(m))
+
+
 def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = BASE_KINDS) -> DataFrame:
     """Replace what the patterns of ``kinds`` find and their tests confirm by ``<kind>``."""
     text = F.col(text_col)
     for k in kinds:
         parts, found = F.split(text, k.pattern, -1), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
-        shown = F.transform(found, lambda m, k=k: F.when(k.valid(m), F.lit(f"<{k.name}>")).otherwise(m))
+        shown = _shown(found, k)
         text = F.when(k.gate(text), F.array_join(F.flatten(F.zip_with(parts, shown, lambda a, m: F.array(a, F.coalesce(m, F.lit(""))))), "")).otherwise(text)
     return docs.withColumn(text_col, text)
 
@@ -169,5 +173,6 @@ def digest(found: DataFrame, out_col: str = "pii") -> DataFrame:
     """Counts of the base kinds, hash of the base spans, and all spans as a string."""
     spans = F.col(out_col)
     of_base = F.filter(spans, lambda s: s["rank"] < len(BASE_KINDS))
-    counts = [F.size(F.filter(spans, lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(BASE_KINDS)]
+    of_rank = lambda i: F.filter(spans, lambda s: s["rank"] == i)
+    counts = [F.size(of_rank(i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(BASE_KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined(of_base), 256).alias("base_sha256"), joined(spans).alias("spans"))
