@@ -6,8 +6,8 @@ hit fixes an alignment, along which the item's tokens are compared with the text
 found when the best stretch has at least ``least`` tokens (or the whole item, if shorter) and
 ``share`` of them agree. Only DataFrame functions run; windows are hashed inside generated code.
 
-The benchmark side is broadcast if its seeds number at most ``BROADCAST_SEEDS`` (about 100 bytes
-each, so its size is bounded); otherwise hashes are shuffled, and only texts with hits come back.
+The benchmark side is broadcast if its seeds carry at most ``BROADCAST_WORDS`` words, some 50 MB;
+otherwise hashes are shuffled, and only texts with hits come back.
 
 Defined cases: null or empty texts and items match nothing, nor do items with fewer tokens than
 the shortest mask; null ids are kept as they are; rows that share an id share a result; an empty table on either side gives no hits.
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 # The masks; a token under 0 is ignored.
 MASKS = ("1101100110111", "1110010111", "11110111")
-BROADCAST_SEEDS = 50_000
+#: Words of the items beside all seeds, of some 25 bytes each, up to which they are broadcast.
+BROADCAST_WORDS = 2_000_000
 #: Tokens that must be compared, and the share of them that must agree.
 LEAST, SHARE = 20, 0.8
 _TOKEN_GAP = "[^\\p{L}\\p{N}]+"
@@ -76,7 +77,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, sha
     rows = _tokenised(docs, F.col("doc_id").cast("long").alias("_id"))
     shift = F.col("at") - F.col("item_at")
     part = F.slice("_words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("_item")).alias("_part")
-    if of_items.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+    if (of_items.agg(F.sum(F.size("_item"))).first()[0] or 0) <= BROADCAST_WORDS:
         met = _seeds(rows, ["_id", "_words"]).join(F.broadcast(of_items), "seed").withColumn("shift", shift)
         hits = met.select("_id", "item_id", "_item", "shift", part)
     else:

@@ -14,31 +14,25 @@ import re
 import numpy as np
 
 #: Distinct pieces in each of the cache's two generations; the older one goes when the newer is full.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 #: Longer pieces are encoded but not kept.
 CACHE_CHARS = 48
 _SPACED = re.compile(r"[ ]*[^ ]+|[ ]+$")
-_UNSAFE_END = re.compile(r"\s|[\x1c-\x1f\x85]")
+_UNSAFE = r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_UNSAFE_END = re.compile(_UNSAFE + "$")
+#: What a text holds unless each of its spaces starts a piece: two spaces, or a space after other white space.
+_UNEVEN = re.compile(f"(?: |{_UNSAFE}) ")
 
 
 def pieces(text: str) -> list[str]:
     """Cut ``text`` before spaces that follow a character that is surely not white space."""
-    if not text:
-        return []
-    if "  " not in text and text[0] != " ":
-        first, *rest = text.split(" ")
-        parts = [first, *[" " + x for x in rest]]
-    else:
-        parts = _SPACED.findall(text)
-    if parts[-1] == " " or any(x[-1] < "!" or x[-1] > "\x84" and _UNSAFE_END.match(x[-1]) for x in parts[:-1]):
-        out = [parts[0]]
-        for x in parts[1:]:
-            if _UNSAFE_END.match(out[-1][-1]):
-                out[-1] += x
-            else:
-                out.append(x)
-        return out
-    return parts
+    out: list[str] = []
+    for x in _SPACED.findall(text):
+        if out and _UNSAFE_END.search(out[-1]):
+            out[-1] += x
+        else:
+            out.append(x)
+    return out
 
 
 class Encoder:
@@ -48,25 +42,55 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.caches: dict[str, tuple[dict, dict]] = {"": ({}, {}), " ": ({}, {})}
+        self.stops = dict(zip(".,", self._ids([".", ","])))
+
+    def _ids(self, some: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(some), 10_000) for e in self.tokenizer.encode_batch_fast(some[i : i + 10_000], add_special_tokens=False)]
+
+    def _of_words(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of each word with ``lead`` before it. A run of letters is one unit to the tokenizer, whose
+        model then gives its ids without the frame of a text; the model writes bytes as characters."""
+        tokenize, space = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0] if lead else ""
+        out: list[bytes | None] = []
+        other = []
+        for w in words:
+            if len(w) <= CACHE_CHARS and w.isascii() and w.isalpha():
+                ids = [t.id for t in tokenize(space + w)]
+                out.append(b"".join([i.to_bytes(4, "little") for i in ids]))
+            else:
+                out.append(None)
+                other.append(lead + w)
+        rest = iter(self._ids(other))
+        return [next(rest) if x is None else x for x in out]
+
+    def _joined(self, parts: list[str], lead: str) -> list[bytes]:
+        """Ids of each part with ``lead`` before it."""
+        known, older = self.caches[lead]
+        out = list(map(known.get, parts))
+        if None not in out:
+            return out
+        if len(known) > CACHE_PIECES:
+            known, older = self.caches[lead] = {}, known
+        new = {x for x, ids in zip(parts, out) if ids is None}
+        fresh = {x: ids for x in new if (ids := older.get(x)) is not None}
+        # a letter never joins a full stop or comma, so a word is looked up without its last one
+        bare = {x: x[:-1] for x in new if x not in fresh and len(x) > 1 and x[-1] in self.stops and x[-2] < "\u0250" and x[-2].isalpha()}
+        todo = list({y for x in new if x not in fresh and (y := bare.get(x, x)) not in known})
+        fresh.update(zip(todo, self._of_words(todo, lead)))
+        for x, y in bare.items():
+            fresh[x] = (fresh.get(y) or known[y]) + self.stops[x[-1]]
+        known.update((x, ids) for x, ids in fresh.items() if len(x) <= CACHE_CHARS)
+        return [fresh[x] if ids is None else ids for x, ids in zip(parts, out)]
 
     def encode(self, text: str | None) -> np.ndarray:
-        parts = pieces(text or "")
-        if len(self.known) > CACHE_PIECES:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        passing = []
-        if new := {x for x in parts if x not in known}:
-            known.update({x: older[x] for x in new if x in older})
-            new = [x for x in new if x not in known]
-            for i in range(0, len(new), 10_000):
-                some = new[i : i + 10_000]
-                known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-            passing = [x for x in new if len(x) > CACHE_CHARS]
-        out = np.frombuffer(b"".join([known[x] for x in parts]), "<u4")
-        for x in passing:
-            del known[x]
-        return out
+        if not text:
+            return np.zeros(0, "<u4")
+        if _UNEVEN.search(text):
+            return np.frombuffer(b"".join(self._joined(pieces(text), "")), "<u4")
+        first, *rest = text.split(" ")
+        return np.frombuffer(b"".join(self._joined([first], "") + self._joined(rest, " ")), "<u4")
 
 
 @functools.lru_cache(maxsize=2)
