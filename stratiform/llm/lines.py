@@ -76,7 +76,7 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         n_words.append(sizes[x] * k)
                         total.append(words)
                         keys.append(np.array(templates(x), np.uint64).view(np.int64))
-            yield pd.DataFrame({"ident": np.array(ident, np.int64), "line": np.array(line, np.uint64).view(np.int64), "n_words": np.array(n_words, np.int64), "total": np.array(total, np.int64), "keys": keys})
+            yield pd.DataFrame({"ident": np.array(ident, np.int64), "line": np.array(line, np.uint64).view(np.int64), "n_words": np.array(n_words, np.int64), "total": np.array(total, np.int64), "keys": pd.Series(keys, dtype=object)})
 
     return docs.select(_ident(id_col, text_col).alias("_ident"), F.col(text_col).alias("_text")).mapInPandas(run, "ident long, line long, n_words long, total long, keys array<long>")
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 LEVEL = 3
 CHUNK_BYTES = 4096
-CHUNK_BAND = (0.18, 0.80)
+CHUNK_BAND = (0.18, 0.70)
 CHUNK_SHARE = 0.25
 #: (bytes below which a band holds, least ratio, most ratio)
 BANDS = ((256, 0.40, 1.20), (512, 0.35, 0.95), (1024, 0.32, 0.88), (4096, 0.27, 0.80), (16384, 0.20, 0.74), (float("inf"), 0.15, 0.72))

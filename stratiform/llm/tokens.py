@@ -10,11 +10,12 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Distinct pieces in each of the cache's two generations; the older one goes when the newer is full.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 #: Longer pieces are encoded but not kept.
 CACHE_CHARS = 48
 _SPACED = re.compile(r"[ ]*[^ ]+|[ ]+$")
@@ -24,6 +25,14 @@ _UNSAFE_END = re.compile(_UNSAFE + "$")
 _UNEVEN = re.compile(f"(?: |{_UNSAFE}) ")
 
 
+_MARKS = "!\"#$%&()*+,-./:;<=?@[\\]^_`{|}~"
+#: Letters below this one are letters to every version of Unicode's tables.
+_LETTERS = "\u0250"
+#: Bytes as this family of tokenizers writes them: printable ones as themselves, others from 256 up.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 def pieces(text: str) -> list[str]:
     """Cut ``text`` before spaces that follow a character that is surely not white space."""
     out: list[str] = []
@@ -44,7 +53,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.caches: dict[str, tuple[dict, dict]] = {"": ({}, {}), " ": ({}, {})}
-        self.stops = dict(zip(".,", self._ids([".", ","])))
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, some: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(some), 10_000) for e in self.tokenizer.encode_batch_fast(some[i : i + 10_000], add_special_tokens=False)]
@@ -52,13 +61,13 @@ class Encoder:
     def _of_words(self, words: list[str], lead: str) -> list[bytes]:
         """Ids of each word with ``lead`` before it. A run of letters is one unit to the tokenizer, whose
         model then gives its ids without the frame of a text; the model writes bytes as characters."""
-        tokenize, space = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0] if lead else ""
+        tokenize, lead_bytes = self.tokenizer.model.tokenize, lead.encode()
         out: list[bytes | None] = []
         other = []
         for w in words:
-            if len(w) <= CACHE_CHARS and w.isascii() and w.isalpha():
-                ids = [t.id for t in tokenize(space + w)]
-                out.append(b"".join([i.to_bytes(4, "little") for i in ids]))
+            if len(w) <= CACHE_CHARS and w.isalpha() and w[0] < _LETTERS and max(w) < _LETTERS:
+                units = lead_bytes + w.encode()
+                out.append(array("I", [t.id for t in tokenize(units.decode("latin-1").translate(_BYTE_CHARS))]).tobytes())
             else:
                 out.append(None)
                 other.append(lead + w)
@@ -75,13 +84,21 @@ class Encoder:
             known, older = self.caches[lead] = {}, known
         new = {x for x, ids in zip(parts, out) if ids is None}
         fresh = {x: ids for x in new if (ids := older.get(x)) is not None}
-        # a letter never joins a full stop or comma, so a word is looked up without its last one
-        bare = {x: x[:-1] for x in new if x not in fresh and len(x) > 1 and x[-1] in self.stops and x[-2] < "\u0250" and x[-2].isalpha()}
-        todo = list({y for x in new if x not in fresh and (y := bare.get(x, x)) not in known})
+        known.update(fresh)
+        new.difference_update(fresh)
+        # a letter never joins the marks after it, so a word is looked up without them
+        bare = {x: y for x in new if not x[-1:].isalnum() and 0 < len(y := x.rstrip(_MARKS)) < len(x) and y[-1] < _LETTERS and y[-1].isalpha()}
+        stems = {bare.get(x, x) for x in new}
+        todo = [y for y in stems if y not in known and y not in older]
         fresh.update(zip(todo, self._of_words(todo, lead)))
+        known.update((y, fresh[y]) for y in todo if len(y) <= CACHE_CHARS)
         for x, y in bare.items():
-            fresh[x] = (fresh.get(y) or known[y]) + self.stops[x[-1]]
-        known.update((x, ids) for x, ids in fresh.items() if len(x) <= CACHE_CHARS)
+            marks = x[len(y) :]
+            if (after := self.marks.get(marks)) is None:
+                after = self._ids([marks])[0]
+                if len(marks) < 4:
+                    self.marks[marks] = after
+            known[x] = fresh[x] = (fresh.get(y) or known.get(y) or older[y]) + after
         return [fresh[x] if ids is None else ids for x, ids in zip(parts, out)]
 
     def encode(self, text: str | None) -> np.ndarray:
