@@ -11,7 +11,8 @@ recurring lines hold more than ``COPY_SHARE`` of a document's words, the documen
 whole: that is for document-level dedup, which needs it whole, and it is left as it is.
 
 Only hashes are grouped, with partial minima and maxima, so a line in a third of all documents
-costs one row per task. Defined cases: null stays null and empty stays empty; lines of fewer than
+costs one row per task. Both joins are merged at every size: what they would broadcast grows with
+the input. Defined cases: null stays null and empty stays empty; lines of fewer than
 ``SHORTEST`` tokens are never dropped; rows with one id are one document, and rows without an id
 are told apart by text; any other columns are carried along; an empty table gives an empty result.
 """
@@ -88,7 +89,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = keyed.groupBy("key").agg(F.min("ident").alias("first"), F.max("ident").alias("last"), F.count("*").alias("n"), F.min("short").alias("short"))
     seen = seen.where(F.expr(f"first < last AND (NOT short OR n >= {SHORT_LINES})")).select("key", "first")
     seen = scratch.materialise(seen, "templates")
-    met = keyed.join(seen, "key").groupBy("ident", "line").agg(F.max("n_words").alias("n_words"), F.max("total").alias("total"), F.min(F.col("ident") == F.col("first")).alias("is_first"))
+    met = keyed.join(seen.hint("merge"), "key").groupBy("ident", "line").agg(F.max("n_words").alias("n_words"), F.max("total").alias("total"), F.min(F.col("ident") == F.col("first")).alias("is_first"))
     by_doc = met.groupBy("ident").agg(F.sum("n_words").alias("recurring"), F.max("total").alias("total"), F.collect_set(F.when(~F.col("is_first"), F.col("line"))).alias("drop"))
     return by_doc.where(F.expr(f"size(drop) > 0 AND recurring <= {COPY_SHARE} * total")).select("ident", "drop")
 
@@ -101,7 +102,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.col(f"_row.{text_col}")
     parts = F.split(text, "\n", -1)
     kept = F.filter(parts, lambda x: ~F.array_contains(F.col("drop"), F.xxhash64(x)))
-    joined = rows.join(drop, "ident", "left")
+    joined = rows.join(drop.hint("merge"), "ident", "left")
     out = [F.when(F.col("drop").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in names]
     if count_col:
         out.append(F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(kept)).cast("long").alias(count_col))

@@ -130,7 +130,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     runs = spark.sparkContext.broadcast(_runs(plan_bins(histogram, capacity)))  # a few rows for each length
 
     first = per_part.select("length", "part", F.expr("sum(n) OVER (PARTITION BY length ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n").alias("before"))
-    ranked = pieces.join(first, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(first.hint("merge"), ["length", "part"])  # grows with the number of tasks
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
