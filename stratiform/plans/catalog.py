@@ -1,14 +1,15 @@
-"""Queries over the standard tables, with their SQL."""
+"""All queries of the library, with their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import members, runs, texts, vectors  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Communities of the hierarchy over hashed document vectors."""
+    return QUERIES["tree_build"](spark, sf_dir)
