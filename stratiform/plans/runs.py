@@ -192,7 +192,7 @@ def online_statistics(spark, sf):
     return rounded(admission.online_update(e, 64), "mass", "first", "second")
 
 
-@query("""WITH w AS (SELECT cell, c, r FROM (SELECT CASE WHEN c <= 26 THEN chr(64 + c) ELSE chr(64 + (c - 1) // 26) || chr(65 + (c - 1) % 26) END || r AS cell, c, r FROM (SELECT unnest(range(25, 29)) AS c), (SELECT unnest(range(2, 5)) AS r)))
+@query("""WITH w AS (SELECT cell, c, r FROM (SELECT CASE WHEN c <= 26 THEN chr((64 + c)::INT) ELSE chr((64 + (c - 1) // 26)::INT) || chr((65 + (c - 1) % 26)::INT) END || r AS cell, c, r FROM (SELECT unnest(range(25, 29)) AS c), (SELECT unnest(range(2, 5)) AS r)))
 SELECT cell, (row_number() OVER (ORDER BY c, r) - 1)::INT AS pos FROM w""")
 def a1_range_cells(spark, sf):
     from ..operators import cells

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import bank, budget, hierarchy, mixture
+from ..sources.scratch import kept
 from .members import rounded
 from .registry import query, table
 from .texts import HASHED
@@ -115,13 +116,13 @@ def pca_project(spark, sf):
 
 @query()
 def mixture_fit(spark, sf):
-    fits = mixture.fit_mixtures(_rows(spark, sf).persist(), [1, 2, 4], mixture.MixtureConfig(restarts=2, rounds=20), 42)
+    fits = mixture.fit_mixtures(kept(_rows(spark, sf)), [1, 2, 4], mixture.MixtureConfig(restarts=2, rounds=20), 42)
     return spark.createDataFrame([(f.k, f.log_likelihood, f.bic, f.valid) for f in fits], "k int, log_likelihood double, bic double, valid boolean")
 
 
 @query()
 def kmeans_fit(spark, sf):
-    f = mixture.kmeans(_rows(spark, sf).persist(), 8, mixture.MixtureConfig(restarts=2, rounds=20), 42)
+    f = mixture.kmeans(kept(_rows(spark, sf)), 8, mixture.MixtureConfig(restarts=2, rounds=20), 42)
     return spark.createDataFrame([(i, float(s), float(n)) for i, (s, n) in enumerate(zip(f.pi, f.leads))], "component int, share double, leads double")
 
 
@@ -141,7 +142,7 @@ def tree_layers(spark: SparkSession, sf: str) -> list[hierarchy.Layer]:
     docs = records.first_distinct(table(spark, sf, "documents"), "doc_id")
     vec = V.dense(V.hashed_entries(docs, "doc_id", "text", 384), "doc_id", 384)
     items = docs.join(vec, "doc_id").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("item_id"), F.lit(0).alias("level"), F.col("vector").alias("vec"), F.lit(1.0).alias("support_mass"), (F.floor((F.col("n_chars") + 3) / 4) + 128).cast("long").alias("tokens"))
-    keep = lambda t, _: t.checkpoint() if spark.sparkContext.getCheckpointDir() else t.persist()
+    keep = lambda t, _: kept(t)
     return hierarchy.build(spark, keep(items, "items"), TREE, keep)
 
 
