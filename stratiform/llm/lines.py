@@ -36,7 +36,7 @@ SHORTEST = 3
 #: Lines with fewer tokens count as short.
 SHORT = 8
 SHORT_LINES = 10
-COPY_SHARE = 0.4
+COPY_SHARE = 0.6
 _VARIABLE = re.compile(rb"\S*[0-9]\S*")
 
 
