@@ -9,6 +9,11 @@ WORD_OR_MARK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 BANK_TOKEN = r"[a-z0-9_\x{4e00}-\x{9fff}]+"
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def text_key(text: Column) -> Column:
     """Key under which two texts count as the same: white space collapsed, case folded."""
     return F.replace(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), F.lit("ß"), F.lit("ss"))
@@ -58,7 +63,7 @@ def clip_ends(text: Column, most: int, head: int, tail: int) -> Column:
 
 def without_thinking(text: Column) -> Column:
     cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?is)<think(?:ing)?>.*?</think(?:ing)?>", "")
-    return F.trim(F.regexp_replace(cut, r"(?i)</?think(?:ing)?>", ""))
+    return stripped(F.regexp_replace(cut, r"(?i)</?think(?:ing)?>", ""))
 
 
 def answer(text: Column) -> Column:
@@ -72,7 +77,7 @@ def audit_answer(text: Column) -> Column:
     plain = without_thinking(text)
     tagged = F.try_element_at(F.regexp_extract_all(plain, F.lit(r"(?is)<answer>\s*(.*?)\s*</answer>"), F.lit(1)), F.lit(-1))
     final = F.nullif(F.trim(F.regexp_extract(plain, r"(?im)FINAL_ANSWER\s*:\s*(.+?)\s*$", 1)), F.lit(""))
-    lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(plain, "\n"), stripped), lambda x: x != "")
     return F.coalesce(F.trim(tagged), final, F.try_element_at(lines, F.lit(-1)), plain)
 
 
