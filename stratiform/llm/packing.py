@@ -106,8 +106,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
         part, ranks, enc, end = TaskContext.get().partitionId(), defaultdict(int), encoder(tokenizer_path), np.array([end_id], "<u4")
         for b in batches:
             rows = []
-            for doc, text in zip(b._id, b._text):
-                ids = np.concatenate([enc.encode(text), end])
+            for doc, of_text in zip(b._id, enc.encode_many(b._text)):
+                ids = np.concatenate([of_text, end])
                 for i, (start, n) in enumerate(cut(len(ids), capacity)):
                     rows.append((doc, i, start, n, zlib.crc32(ids[start : start + n]), part, ranks[n]))
                     ranks[n] += 1

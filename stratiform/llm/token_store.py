@@ -195,12 +195,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, enc, end, made = TaskContext.get().partitionId(), encoder(tokenizer_path), np.array([end_id], "<u4"), None
-        todo = ((None if pd.isna(i) else int(i), t) for b in batches for i, t in zip(b._id, b._text))
+        todo = ((None if pd.isna(i) else int(i), ids) for b in batches for i, ids in zip(b._id, enc.encode_many(b._text)))
         if (row := next(todo, None)) is not None:
             with files.new_file(folder, f"part-{part:05d}", ".dac") as (path, out):
                 w = _Writer(out)
                 while row is not None:
-                    w.add(row[0], np.concatenate([enc.encode(row[1]), end]))
+                    w.add(row[0], np.concatenate([row[1], end]))
                     row = next(todo, None)
                 w.close()
                 made = (part, path, len(w.docs), w.tokens)

@@ -1,8 +1,13 @@
 """Token ids of whole texts by a public tokenizer, in tasks.
 
-A byte-level tokenizer of this family never joins characters across the start of a run of white
-space, so a text may be cut there. Pieces recur, and a bounded cache keeps the ids that the
-tokenizer has given them; ids equal those of encoding the text whole.
+A byte-level tokenizer of this family cuts a text, before it looks at its vocabulary, where a space
+follows a character that is no white space, and on either side of a line end between such
+characters. What it gives for a piece between cuts does not depend on the pieces around it. Pieces
+recur, so those of a group of texts are found by numpy, a bounded cache holds the ids that the
+tokenizer has given to earlier ones, and new ones go to it many at a time. Ids equal those of
+encoding each text whole.
+
+A piece is known by a 64-bit hash: two of n pieces collide with probability n * n / 2**65.
 """
 
 from __future__ import annotations
@@ -10,38 +15,22 @@ from __future__ import annotations
 import functools
 import os
 import re
-from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Distinct pieces in each of the cache's two generations; the older one goes when the newer is full.
-CACHE_PIECES = 300_000
-#: Longer pieces are encoded but not kept.
-CACHE_CHARS = 48
-_SPACED = re.compile(r"[ ]*[^ ]+|[ ]+$")
-_UNSAFE = r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_UNSAFE_END = re.compile(_UNSAFE + "$")
-#: What a text holds unless each of its spaces starts a piece: two spaces, or a space after other white space.
-_UNEVEN = re.compile(f"(?: |{_UNSAFE}) ")
-
-
-_MARKS = "!\"#$%&()*+,-./:;<=?@[\\]^_`{|}~"
-#: Letters below this one are letters to every version of Unicode's tables.
-_LETTERS = "\u0250"
-#: Bytes as this family of tokenizers writes them: printable ones as themselves, others from 256 up.
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
-
-
-def pieces(text: str) -> list[str]:
-    """Cut ``text`` before spaces that follow a character that is surely not white space."""
-    out: list[str] = []
-    for x in _SPACED.findall(text):
-        if out and _UNSAFE_END.search(out[-1]):
-            out[-1] += x
-        else:
-            out.append(x)
-    return out
+#: Pieces that the cache keeps, those used last; it may grow to twice as many.
+CACHE_PIECES = 1 << 19
+#: Characters of the texts that are cut at once, and pieces in one text for the tokenizer.
+GROUP_CHARS, RUN_PIECES = 1 << 21, 512
+#: White space beyond ASCII; a text with any goes to the tokenizer as it is.
+_FOREIGN_SPACE = re.compile("[\x85\xa0 ᠎ -​    　﻿]")
+#: A space after a mark, letter or digit of ASCII begins a piece.
+_CUT = re.compile("[!-~] ")
+#: Bytes that are, or may count as, white space.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+_BASE = 0x9E3779B97F4A7C15
+_NONE = np.zeros(0, np.int64)
 
 
 class Encoder:
@@ -52,62 +41,150 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.caches: dict[str, tuple[dict, dict]] = {"": ({}, {}), " ": ({}, {})}
-        self.marks: dict[str, bytes] = {}
-
-    def _ids(self, some: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(some), 10_000) for e in self.tokenizer.encode_batch_fast(some[i : i + 10_000], add_special_tokens=False)]
-
-    def _of_words(self, words: list[str], lead: str) -> list[bytes]:
-        """Ids of each word with ``lead`` before it. A run of letters is one unit to the tokenizer, whose
-        model then gives its ids without the frame of a text; the model writes bytes as characters."""
-        tokenize, lead_bytes = self.tokenizer.model.tokenize, lead.encode()
-        out: list[bytes | None] = []
-        other = []
-        for w in words:
-            if len(w) <= CACHE_CHARS and w.isalpha() and w[0] < _LETTERS and max(w) < _LETTERS:
-                units = lead_bytes + w.encode()
-                out.append(array("I", [t.id for t in tokenize(units.decode("latin-1").translate(_BYTE_CHARS))]).tobytes())
-            else:
-                out.append(None)
-                other.append(lead + w)
-        rest = iter(self._ids(other))
-        return [next(rest) if x is None else x for x in out]
-
-    def _joined(self, parts: list[str], lead: str) -> list[bytes]:
-        """Ids of each part with ``lead`` before it."""
-        known, older = self.caches[lead]
-        out = list(map(known.get, parts))
-        if None not in out:
-            return out
-        if len(known) > CACHE_PIECES:
-            known, older = self.caches[lead] = {}, known
-        new = {x for x, ids in zip(parts, out) if ids is None}
-        fresh = {x: ids for x in new if (ids := older.get(x)) is not None}
-        known.update(fresh)
-        new.difference_update(fresh)
-        # a letter never joins the marks after it, so a word is looked up without them
-        bare = {x: y for x in new if not x[-1:].isalnum() and 0 < len(y := x.rstrip(_MARKS)) < len(x) and y[-1] < _LETTERS and y[-1].isalpha()}
-        stems = {bare.get(x, x) for x in new}
-        todo = [y for y in stems if y not in known and y not in older]
-        fresh.update(zip(todo, self._of_words(todo, lead)))
-        known.update((y, fresh[y]) for y in todo if len(y) <= CACHE_CHARS)
-        for x, y in bare.items():
-            marks = x[len(y) :]
-            if (after := self.marks.get(marks)) is None:
-                after = self._ids([marks])[0]
-                if len(marks) < 4:
-                    self.marks[marks] = after
-            known[x] = fresh[x] = (fresh.get(y) or known.get(y) or older[y]) + after
-        return [fresh[x] if ids is None else ids for x, ids in zip(parts, out)]
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        names = self.tokenizer.get_vocab()
+        #: Whether an id's bytes begin with a space.
+        self.spaced = np.zeros(max(names.values()) + 1, bool)
+        self.spaced[[i for x, i in names.items() if x.startswith(space)]] = True
+        # the cache: sorted hashes, the group that used each last, where its ids are and how many
+        self.keys, self.used, self.first, self.count = np.zeros(0, np.uint64), _NONE, _NONE, _NONE
+        self.ids, self.groups = np.zeros(0, "<u4"), 0
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    # ---- pieces of a group -----------------------------------------------------------------------
+
+    def cuts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where pieces begin in the bytes of texts that begin at ``starts``."""
+        first = np.zeros(len(data) + 1, bool)
+        first[starts] = first[-1] = True
+        space = _SPACE[data]
+        before = np.empty(len(data), bool)
+        before[:1], before[1:] = True, space[:-1]
+        after = np.empty(len(data), bool)
+        after[-1:], after[:-1] = True, space[1:]
+        line_end = (data == 10) & ~before & ~after & ~first[:-1] & ~first[1:]
+        first[:-1] |= (data == 32) & ~before | line_end
+        first[1:] |= line_end
+        return np.flatnonzero(first[:-1])
+
+    def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hash of each piece: its bytes as digits, from sums over all bytes before."""
+        if len(self.powers) < len(data) + 1:
+            n = len(data) + 1
+            self.powers, self.inverses = (np.cumprod(np.where(np.arange(n), np.uint64(x), np.uint64(1)), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], out=sums[1:])
+        h = (sums[end] - sums[begin]) * self.inverses[begin]
+        h ^= h >> np.uint64(32)
+        return h * np.uint64(0xD6E8FEB86659FD93)
+
+    # ---- the tokenizer ---------------------------------------------------------------------------
+
+    def _each(self, some: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for i in range(0, len(some), 1000) for e in self.tokenizer.encode_batch_fast(some[i : i + 1000], add_special_tokens=False)]
+
+    def _tokenised(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and how many each has.
+
+        Pieces of a space and what is no white space are encoded many in one text: a space then begins
+        a token and no other token does, which shows the pieces' ids. Others are encoded one by one.
+        """
+        joint = [i for i, x in enumerate(some) if x[0] == " " and len(x) == len(y := x.strip()) + 1 and " " not in y]
+        apart = sorted(set(range(len(some))).difference(joint))
+        ids, counts = [np.zeros(0, "<u4")], np.zeros(len(some), np.int64)
+        for lo in range(0, len(joint), RUN_PIECES * 64):
+            runs = [joint[i : i + RUN_PIECES] for i in range(lo, min(len(joint), lo + RUN_PIECES * 64), RUN_PIECES)]
+            for run, got in zip(runs, self._each(["".join([some[i] for i in r]) for r in runs])):
+                edges = np.flatnonzero(self.spaced[got])
+                if len(edges) != len(run):
+                    raise ValueError("the tokenizer does not begin a token at each space")
+                counts[run] = np.diff(edges, append=len(got))
+                ids.append(got)
+        got = self._each([some[i] for i in apart])
+        counts[apart] = [len(x) for x in got]
+        order = np.array(joint + apart, np.int64)
+        first = np.zeros(len(some), np.int64)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate(ids + got), np.stack([first, counts])
+
+    def _learn(self, keys: np.ndarray, some: list[str]) -> None:
+        """Add pieces to the cache."""
+        ids, (first, count) = self._tokenised(some)
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        first = np.concatenate([self.first, first + len(self.ids)])[order]
+        self.keys, self.first, self.count = keys[order], first, np.concatenate([self.count, count])[order]
+        self.used = np.concatenate([self.used, np.full(len(some), self.groups)])[order]
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _forget(self) -> None:
+        """Keep the pieces that were used last."""
+        stay = np.sort(np.argsort(-self.used, kind="stable")[:CACHE_PIECES])
+        self.keys, self.used = self.keys[stay], self.used[stay]
+        self.ids, edges = _gathered(self.ids, self.first[stay], self.count[stay])
+        self.first, self.count = edges[:-1], self.count[stay]
+
+    # ---- texts -----------------------------------------------------------------------------------
+
+    def encode_many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text, in order, a bounded group of texts at a time."""
+        held, size = [], 0
+        for t in texts:
+            if len(t or "") > GROUP_CHARS:
+                yield from self._group(held)
+                held, size = [], 0
+                yield np.concatenate([ids for x in slices(t, GROUP_CHARS) for ids in self._group([x])])
+                continue
+            held.append(t or "")
+            size += len(t or "")
+            if size >= GROUP_CHARS:
+                yield from self._group(held)
+                held, size = [], 0
+        yield from self._group(held)
+
+    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        odd = [i for i, t in enumerate(texts) if _FOREIGN_SPACE.search(t)]
+        whole = dict(zip(odd, self._each([texts[i] for i in odd])))
+        parts = [b"" if i in whole else t.encode() for i, t in enumerate(texts)]
+        blob = b"".join(parts)
+        data = np.frombuffer(blob, np.uint8)
+        edges = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+        begin = self.cuts(data, edges[:-1])
+        end = np.append(begin[1:], len(data)) if len(begin) else begin
+        keys, at, piece = np.unique(self.hashes(data, begin, end), return_index=True, return_inverse=True)
+        self.groups += 1
+        place = np.searchsorted(self.keys, keys)
+        known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        if not known.all():
+            new = at[~known]
+            self._learn(keys[~known], [blob[a:b].decode() for a, b in zip(begin[new].tolist(), end[new].tolist())])
+            place = np.searchsorted(self.keys, keys)
+        self.used[place] = self.groups
+        ids, bounds = _gathered(self.ids, self.first[place][piece], self.count[place][piece])
+        of_text = bounds[np.searchsorted(begin, edges)]
+        if len(self.keys) > 2 * CACHE_PIECES:
+            self._forget()
+        for i in range(len(texts)):
+            yield whole[i] if i in whole else ids[of_text[i] : of_text[i + 1]]
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        if _UNEVEN.search(text):
-            return np.frombuffer(b"".join(self._joined(pieces(text), "")), "<u4")
-        first, *rest = text.split(" ")
-        return np.frombuffer(b"".join(self._joined([first], "") + self._joined(rest, " ")), "<u4")
+        return next(self.encode_many([text]))
+
+
+def slices(text: str, size: int) -> Iterator[str]:
+    """Cut a long text where pieces begin, into slices of about ``size``."""
+    lo = 0
+    while lo < len(text):
+        cut = _CUT.search(text, lo + size)
+        hi = cut.start() + 1 if cut else len(text)
+        yield text[lo:hi]
+        lo = hi
+
+
+def _gathered(ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``ids`` at ``first``, ``count`` long, one after the other, and where each begins."""
+    edges = np.concatenate([[0], np.cumsum(count)])
+    return ids[np.repeat(first - edges[:-1], count) + np.arange(edges[-1])], edges
 
 
 @functools.lru_cache(maxsize=2)

@@ -1,31 +1,48 @@
+import functools
 import random
 import zlib
 
 import numpy as np
 import pytest
 
-from stratiform.llm import packing, token_store
+from stratiform.llm import packing, token_store, tokens
 from stratiform.llm.queries import tokenizer_path
-from stratiform.llm.tokens import Encoder, pieces
+from stratiform.llm.tokens import Encoder, slices
 
 TOK = tokenizer_path()
 ALPHABET = ["a", "b", "'s", " ", "  ", "\n", "\t", "\x1c", "\x1f", "\x85", "\xa0", "　", "é", "1", ".", "<|endoftext|>", "日", "\r\n", "​", "᠎", "﻿", "' s", "word"]
 
 
-def whole(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(TOK).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(TOK)
+
+
+def whole(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def test_ids_equal_those_of_the_whole_text():
     rng, enc = random.Random(7), Encoder(TOK)
     for _ in range(3000):
         text = "".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 16)))
-        assert "".join(pieces(text)) == text
         assert enc.encode(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_do_not_depend_on_the_group(monkeypatch):
+    rng, enc = random.Random(8), Encoder(TOK)
+    texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 60))) for _ in range(400)] + [None, ""]
+    want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 20)
+    monkeypatch.setattr(tokens, "RUN_PIECES", 3)
+    for size in (1, 30, 1000, 1 << 20):
+        monkeypatch.setattr(tokens, "GROUP_CHARS", size)
+        assert [x.tolist() for x in Encoder(TOK).encode_many(texts)] == want
+    assert all("".join(slices(t, 5)) == t for t in texts if t)
+
+
 def test_ids_of_real_texts(spark):
     enc = Encoder(TOK)
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
