@@ -4,7 +4,8 @@ A fingerprint bit is set where more than half of the shingle hashes have it. Equ
 merged first, so a group of copies counts once. Fingerprints that may link meet in a bucket; a
 bucket is sorted by population count and cut into tiles, and numpy exclusive-or and bit counts
 compare tile pairs, except those whose population counts differ beyond the radius. A bucket passes
-on a spanning forest of its links, never all pairs.
+on a spanning forest of its links, never all pairs. A bucket of over ``BUCKET`` fingerprints is cut
+into parts that meet two by two in as many tasks.
 
 Buckets. For a small radius they are exact (pigeonhole): of ``radius + 4`` blocks of bits at least
 four agree, so each choice of four blocks is a key; two linked fingerprints always meet. At radius 2
@@ -38,6 +39,8 @@ from .shingles import shingle_hashes
 
 #: Fingerprints of a tile: a tile pair takes 8 bytes * TILE ** 2 at once.
 TILE = 1024
+#: Fingerprints of a bucket beyond which it is cut into parts that meet two by two.
+BUCKET = 1 << 14
 #: Minima per text when the radius is wide.
 KEYS = 8
 _AGREE = 4
@@ -222,9 +225,21 @@ def _meetings(prints: DataFrame, scheme: Scheme) -> DataFrame:
     return prints.select("fp").distinct().mapInPandas(run, "key long, fp binary")
 
 
+def _split(met: DataFrame) -> DataFrame:
+    """``met`` with buckets of over ``BUCKET`` fingerprints cut into parts by a hash, and every two parts
+    of one made a bucket of their own: no pair is lost, and no task holds more than two parts."""
+    met = scratch.materialise(met, "meetings")
+    heavy = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
+    heavy = scratch.materialise(heavy.select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts")), "heavy")
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: t != own)
+    keys = F.when(F.col("parts").isNull(), F.array("key")).otherwise(F.transform(others, lambda t: F.xxhash64("key", F.least(own, t), F.greatest(own, t))))
+    return met.join(heavy, "key", "left").select(F.explode(keys).alias("key"), "fp")
+
+
 def links(prints: DataFrame, scheme: Scheme) -> DataFrame:
     """Links (a, b) between distinct fingerprints; their components are those of all links."""
-    met = _meetings(prints, scheme)
+    met = _split(_meetings(prints, scheme))
     tasks = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     run = _bucket_links(scheme.radius, scheme.bits // 64)
     return met.repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(run, "a binary, b binary")

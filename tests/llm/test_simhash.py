@@ -84,6 +84,41 @@ def test_tiles_give_the_components_of_all_pairs(n, spread, monkeypatch):
     assert of(simhash.tile_links(fps, 3), n) == list(brute_components(ints, 3).values())
 
 
+@pytest.mark.parametrize("scheme", [simhash.NARROW, simhash.SIMILAR])
+def test_large_buckets_are_cut_without_loss(spark, monkeypatch, scheme):
+    rng = np.random.default_rng(2)
+    size = scheme.bits // 8
+    centres = rng.integers(0, 256, (3, size), dtype=np.uint8)
+    fps = {bytes(c) for c in centres}
+    while len(fps) < 150:
+        c = centres[rng.integers(3)].copy()
+        for bit in rng.integers(0, 8 * size, rng.integers(1, scheme.radius)):
+            c[bit // 8] ^= np.uint8(1 << (bit % 8))
+        fps.add(bytes(c))
+    # as wide keys: a few that very many share
+    rows = [(f, [int(rng.integers(2)), int(rng.integers(2)) + 5]) for f in sorted(fps)]
+    prints = spark.createDataFrame(rows, "fp binary, keys array<long>")
+    whole = {frozenset(x) for x in groups(simhash.links(prints, scheme).collect())}
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    assert {frozenset(x) for x in groups(simhash.links(prints, scheme).collect())} == whole and max(map(len, whole)) > 20
+
+
+def groups(links):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for r in links:
+        up[root(bytes(r.a))] = root(bytes(r.b))
+    out = {}
+    for x in list(up):
+        out.setdefault(root(x), set()).add(x)
+    return out.values()
+
+
 def test_chains_reach_the_smallest_label(spark):
     chain = [(bytes([i]), bytes([i + 1])) for i in range(5, 60)] + [(b"\xf0", b"\xf1")]
     got = {bytes(r.node): bytes(r.label) for r in simhash.smallest_labels(spark.createDataFrame(chain, "a binary, b binary")).collect()}
