@@ -277,7 +277,7 @@ def components(docs: DataFrame, scheme: Scheme = NARROW, id_col: str = "doc_id",
     labels = smallest_labels(edges)
     first = prints.groupBy("fp").agg(F.min(F.struct("_none", "_id", "_hash")).alias("first"))
     by_fp = scratch.materialise(first.join(labels, first.fp == labels.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "labelled")
-    least = by_fp.groupBy("label").agg(F.min("first").alias("first"))
+    least = scratch.materialise(by_fp.groupBy("label").agg(F.min("first").alias("first")), "least")  # apart: a join of two shuffles can be split at a hot label
     named = scratch.materialise(by_fp.select("fp", "label").join(least, "label").select("fp", "first"), "named")
     scratch.forget(edges, labels, by_fp)
     real = lambda none, i: F.when(~none, i)
