@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import bank, budget, hierarchy, mixture
+from ..operators import bank, budget, hierarchy, mixture, refinement
 from ..sources.scratch import kept
 from .members import rounded
 from .registry import query, table
@@ -126,13 +126,24 @@ def kmeans_fit(spark, sf):
     return spark.createDataFrame([(i, float(s), float(n)) for i, (s, n) in enumerate(zip(f.pi, f.leads))], "component int, share double, leads double")
 
 
+@query()
+def budget_refine(spark, sf):
+    """Two communities of all vectors, split until their leaves hold 6000 tokens at most."""
+    v = vectors(spark, sf).select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("item_id"), "vec", (20 + F.col("vec_id") % 30).cast("long").alias("tokens"), F.concat(F.lit("C"), (F.col("label") % 2).cast("string")).alias("community_id"))
+    items = kept(v)
+    members = items.select("item_id", "community_id", F.lit(1.0).alias("w"))
+    leaves, _ = refinement.refined(members, items, refinement.RefineConfig(6000, ks=(2, 4), most_depth=2), mixture.MixtureConfig(restarts=1, rounds=12), 42, lambda t, _: kept(t))
+    return leaves
+
+
 @query()
 def budget_pack(spark, sf):
     d = table(spark, sf, "documents").select(F.col("source").alias("community_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("item_id"), F.floor((F.col("n_chars") + 3) / 4).cast("long").alias("tokens"))
     return budget.pack_communities(d, 4000)
 
 
-TREE = hierarchy.TreeConfig(mixture=mixture.MixtureConfig(min_effective=10.0, restarts=1, rounds=12), token_budget=20_000, most_levels=3)
+#: Communities over the budget are packed here; ``budget_refine`` splits them by mixtures.
+TREE = hierarchy.TreeConfig(refined_levels=-1, mixture=mixture.MixtureConfig(min_effective=10.0, restarts=1, rounds=12), token_budget=20_000, most_levels=3)
 
 
 def tree_layers(spark: SparkSession, sf: str) -> list[hierarchy.Layer]:

@@ -37,3 +37,9 @@ def test_tree_masses(spark):
     rows = catalog.QUERIES["tree_build"](spark, SF).collect()
     assert rows and len({(r.level, r.community_id) for r in rows}) == len(rows)
     assert all(r.token_cost <= 20_000 for r in rows)
+
+
+def test_refined_leaves_hold_all_items(spark, con):
+    rows = catalog.QUERIES["budget_refine"](spark, SF).collect()
+    assert {int(r.item_id) for r in rows} == {i for (i,) in con.execute("SELECT vec_id FROM embeddings").fetchall()}
+    assert len({r.community_id for r in rows}) > 2
