@@ -86,9 +86,9 @@ def is_retryable(status: Column) -> Column:
     return F.when(status.isNull(), True).otherwise(status.isin(408, 409, 429) | (status >= 500))
 
 
-def tool_name(given: Column, command: Column) -> Column:
+def tool_name(given: Column, command: Column, default: str = "tool") -> Column:
     """The name given, else what stands before the command's first bracket."""
-    return F.coalesce(_blank_to_null(T.stripped(given)), _blank_to_null(T.stripped(F.regexp_extract(command, r"(?s)\A(.*?)\(", 1))), F.lit("officeqa_tool"))
+    return F.coalesce(_blank_to_null(T.stripped(given)), _blank_to_null(T.stripped(F.regexp_extract(command, r"(?s)\A(.*?)\(", 1))), F.lit(default))
 
 
 def tool_call(reply: Column) -> Column:

@@ -72,7 +72,7 @@ def head_tail_steps(spark, sf):
     return held.select("l_orderkey", F.array_join(evidence.head_tail(F.col("steps"), 4, F.lit("...")), "|").alias("steps"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'answer_mismatch' WHEN doc_id % 3 = 1 THEN 'answer_mismatch' ELSE source END AS reason, CASE WHEN doc_id % 3 = 0 THEN 'grep' WHEN doc_id % 3 = 1 THEN lang ELSE 'officeqa_tool' END AS tool, doc_id % 3 = 2 AS passing, doc_id % 5 IN (0, 2, 4) AS retry FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'answer_mismatch' WHEN doc_id % 3 = 1 THEN 'answer_mismatch' ELSE source END AS reason, CASE WHEN doc_id % 3 = 0 THEN 'grep' WHEN doc_id % 3 = 1 THEN lang ELSE 'tool' END AS tool, doc_id % 3 = 2 AS passing, doc_id % 5 IN (0, 2, 4) AS retry FROM documents""")
 def failure_labels(spark, sf):
     c, k, s = F.col, F.col("doc_id") % 3, F.col("doc_id") % 5
     reason = F.when(k == 0, F.concat(F.lit("Expected "), "lang")).when(k == 1, "  \n").otherwise(F.concat(F.lit(" "), "source", F.lit("\t")))
