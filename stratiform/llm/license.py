@@ -1,8 +1,10 @@
 """License scan by sentence rules: known sentences get identifiers, ordered rules match their sequence.
 
-A text is cut into sentences at line ends and full stops, sentences are normalised, and those that
-are known become identifiers (a few of them carry a version as part of the sentence). A rule is an
-ordered list of identifiers, with or without gaps between them; each rule that matches names a
+A text becomes one stream of words in which line ends, stops, colons and semicolons are bounds and
+comment marks are gone. A known sentence starts and ends at a bound and may run across bounds, so it
+is found however it is wrapped; only an empty line (or one of comment marks) always ends it. Those
+that are known become identifiers (a few of them carry a version as part of the sentence). A rule is
+an ordered list of identifiers, with or without gaps between them; each rule that matches names a
 license, and an unmatched known sentence leaves the text marked as ``unclear``.
 
 Only Column expressions run; nothing is shuffled. Defined cases: null or empty text has no license;
@@ -89,10 +91,12 @@ RULES = (
 )
 #: Licenses whose rule gives way when a longer one of the pair also matches.
 NARROWER = {"BSD-2-Clause": "BSD-3-Clause"}
-#: A sentence is normalised only if it holds one of these words.
-HINT = "(?i)licen[sc]e|copyright|permission|redistribut|reserved|warrant|public domain|free software|use this file|a copy of the|name of the copyright"
-#: Where sentences end: line ends, and full stops, colons or semicolons before white space.
-SENTENCE_END = "\\n|[.:;]+(?=[ \\t\\r]|$)|[.:;]+\\n"
+#: A text is read only if it holds one of these words.
+HINT = "(?i)licen[sc]e|copyright|permission|redistribut|reserved|warrant|public domain|free\\W+software|use\\W+this\\W+file|a\\W+copy\\W+of\\W+the"
+#: Bounds in the stream: of sentences, and at empty lines.
+BOUND, EMPTY = "|", "||"
+#: A full stop, colon or semicolon before white space, closing quotes and brackets aside.
+_STOP = "[.:;]+(?=[\"')\\]]*(?:\\s|$))"
 
 
 def normalised(sentence: Column) -> Column:
@@ -100,6 +104,20 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^\\p{L}\\p{N}]+", " "))
 
 
+def _known_pattern() -> str:
+    """Any known sentence between bounds, longer ones first; between two words may be one bound."""
+    longest = sorted(SENTENCES.values(), key=len, reverse=True)
+    return f"(?<=\\|)(?:{'|'.join(x.replace(' ', '[ |]') for x in longest)})(?=\\|)"
+
+
+def stream(text: Column) -> Column:
+    """Words of the text in lower case with ``BOUND`` or ``EMPTY`` between sentences and lines, and around all."""
+    s = F.translate(F.lower(text), "\x01\x02", "  ")
+    for what, by in ((_STOP, "\x01"), ("\\r\\n?|\\n", "\x02"), ("[^\\p{L}\\p{N}\x01\x02]+", " "), ("[ \x01]*\x02[ \x01]*\x02[ \x01\x02]*", EMPTY), (" *[\x01\x02][ \x01\x02]*", BOUND)):
+        s = F.regexp_replace(s, what, by)
+    return F.concat(F.lit(BOUND), F.trim(s), F.lit(BOUND))
+
+
 def _pattern(ids: tuple[str, ...], gaps: bool) -> str:
     between = ";(?:[^;]+;)*?" if gaps else ";"
     return f"(?:^|;){between.join(ids)}(?:;|$)"
@@ -109,8 +127,8 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "license") -> D
     """``docs`` with a struct: ids (known sentences in order), licenses (sorted), unclear."""
     known = F.create_map(*(F.lit(x) for x in chain.from_iterable((v, k) for k, v in SENTENCES.items())))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hinted = F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(HINT))
-    ids = F.filter(F.transform(hinted, lambda s: F.try_element_at(known, normalised(s))), lambda x: x.isNotNull())
+    sentences = F.regexp_extract_all(stream(text), F.lit(_known_pattern()), F.lit(0))
+    ids = F.transform(sentences, lambda s: F.try_element_at(known, F.translate(s, BOUND, " ")))
     found = docs.withColumn(out_col, F.when(text.rlike(HINT), F.array_join(ids, ";")).otherwise(""))
     seq = F.col(out_col)
     named = F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(seq.rlike(_pattern(i, g)), F.lit(n)) for n, i, g in RULES)), lambda x: x.isNotNull())))

@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from stratiform.llm import license
@@ -50,3 +52,38 @@ def test_every_known_line_of_real_texts(spark):
 def test_edges(edge_docs, no_docs):
     assert license.digest(license.scan(edge_docs)).count() == 8
     assert license.digest(license.scan(no_docs)).count() == 0
+
+
+GPL = 'This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.'
+MIT = 'Copyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0'
+STANDARD = [
+    (APACHE, "Apache-2.0"),
+    (MIT, "MIT"),
+    ("The MIT License\n\n" + MIT.split("\n\n", 1)[1], "MIT"),
+    ("Licensed under the MIT License.", "MIT"),
+    ("This program is licensed under the GNU General Public License, version 3.", "GPL-3.0-only"),
+    (GPL.format(":", 3), "GPL-3.0-or-later"),
+    (GPL.format(";", 2), "GPL-2.0-or-later"),
+    (BSD2.replace("\n", "\n\n"), "BSD-2-Clause"),
+    (BSD3.replace("\n", "\n\n"), "BSD-3-Clause"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    *((f"Licensed under {k}.", v) for k, v in [("CC0 1.0", "CC0-1.0"), ("CC BY 4.0", "CC-BY-4.0"), ("CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"), ("CC BY-ND 4.0", "CC-BY-ND-4.0")]),
+    *((f"SPDX-License-Identifier: {k}", k) for k in ("Apache-2.0", "MIT", "BSD-3-Clause", "GPL-3.0-only")),
+    ("SPDX-License-Identifier: MIT OR Zlib", ""),
+]
+
+
+def test_standard_texts_however_wrapped(spark):
+    """Each rule's standard text, wrapped at several widths, bare and behind comment marks, between code."""
+    rows, want = [], {}
+    for text, name in STANDARD:
+        for width in (40, 72, 80, 10_000):
+            for mark, end in (("", "\n"), ("# ", "\n"), (" * ", "\r\n"), ("// ", "\n")):
+                lines = [x for part in text.split("\n\n") for x in [*textwrap.wrap(part, width, break_on_hyphens=False), ""]]
+                want[len(rows)] = (name, width, mark)
+                rows.append((len(rows), "import x" + end + end + end.join((mark + x).rstrip() for x in lines) + end + "x = 1" + end))
+    got = {r.doc_id: r.licenses for r in license.digest(license.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [(want[i], n) for i, n in sorted(got.items()) if n != want[i][0]] == []
