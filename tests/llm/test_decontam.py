@@ -81,3 +81,12 @@ def test_edges(spark, edge_docs, no_docs):
     assert kept.columns == edge_docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 3, 5, 6]
     assert decontam.find_overlaps(no_docs, bench).count() == 0
     assert decontam.find_overlaps(edge_docs, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words", [decontam.BROADCAST_WORDS, 0])
+def test_rows_of_one_id_are_told_apart_by_text(spark, monkeypatch, words):
+    monkeypatch.setattr(decontam, "BROADCAST_WORDS", words)
+    item = " ".join(f"w{k}" for k in range(30))
+    docs = [(None, "before " + item), (None, "clean without an id"), (None, None), (7, item + " after"), (7, "clean with a repeated id"), (8, "clean")]
+    kept = decontam.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((docs[i] for i in (1, 2, 4, 5)), key=str)
