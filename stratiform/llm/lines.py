@@ -1,7 +1,9 @@
 """Line dedup by a log-template tree: templates that recur across documents are dropped.
 
 A line's place in the tree is fixed in depth: its token count, then its leading tokens, then the
-rest. Tokens that hold a digit are variables. The rest is cut into segments; a template leaves one
+rest. Tokens that hold a digit are variables; a template must keep literal tokens for at least half of
+the line, else it says nothing (rows of numbers would all be alike) and the line counts as it stands,
+digits included. The rest is cut into segments; a template leaves one
 segment open as a variable field, so lines that differ in one field share it. A line has one
 template for each open segment and one with none. A template recurs if two or more documents have
 it; short lines must recur ``SHORT_LINES`` times, as short phrases meet by chance.
@@ -41,16 +43,26 @@ _VARIABLE = re.compile(rb"\S*[0-9]\S*")
 
 
 def templates(line: bytes) -> list[int]:
-    """Hashes of the templates of a line: with no open segment, then with each in turn."""
+    """Hashes of the templates of a line: with no open segment, then with each in turn.
+
+    Templates with too few literal tokens are left out; for the first stands the line itself. Only a
+    short line has a single hash.
+    """
     words = _VARIABLE.sub(b"<*>", line).split()
     n = len(words)
+    literal = [w != b"<*>" for w in words]
+    if 2 * sum(literal) < n:
+        return [xxh64_intdigest(b"=" + b" ".join(line.split()))] * (2 if n >= SHORT else 1)
     head = b"%d %s" % (n, b" ".join(words[:LEADING]))
     rest = words[LEADING:]
     out = [xxh64_intdigest(head + b"\n" + b" ".join(rest))]
     if n >= SHORT:
         edges = [len(rest) * i // SEGMENTS for i in range(SEGMENTS + 1)]
         for k, (a, b) in enumerate(zip(edges, edges[1:])):
-            out.append(xxh64_intdigest(b"%s\n%d %s <*> %s" % (head, k, b" ".join(rest[:a]), b" ".join(rest[b:]))))
+            if 2 * (sum(literal) - sum(literal[LEADING + a : LEADING + b])) >= n:
+                out.append(xxh64_intdigest(b"%s\n%d %s <*> %s" % (head, k, b" ".join(rest[:a]), b" ".join(rest[b:]))))
+        if len(out) == 1:
+            out *= 2
     return out
 
 

@@ -79,3 +79,13 @@ def test_edges(edge_docs, no_docs):
     assert out.columns == edge_docs.columns
     assert sorted(out.collect(), key=str) == sorted(edge_docs.collect(), key=str)
     assert lines.drop_recurring(no_docs).count() == 0
+
+
+def test_rows_of_numbers_are_not_one_template(spark):
+    prose = lambda i: "\n" + " ".join(f"word{chr(97 + i)}{chr(97 + k)}" for k in range(26))
+    rows = [(i, " ".join(str(1000 * i + k) for k in range(9)) + f"\n{i} {i + 1} {i + 2}\n{i} {i + 7} total of {i + 3} {i + 4} {i + 5} {i + 6} {i + 8}" + prose(i)) for i in range(12)]
+    same = "\n2024-01-01 10 20 30 40 50 60 70"
+    rows += [(20, prose(20)[1:] + same + prose(21)), (21, prose(22)[1:] + same + prose(23))]
+    got = {r.doc_id: r.text for r in lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(rows) | {21: rows[-1][1].replace(same, "")}
+    assert got == want
