@@ -61,3 +61,20 @@ def test_edges(edge_docs, no_docs):
     kept = quality.keep_good(edge_docs.unionByName(fine).unionByName(fine))
     assert kept.columns == edge_docs.columns and kept.count() == 2
     assert quality.keep_good(no_docs).count() == 0
+
+
+def test_chunks_of_short_texts(spark):
+    """From 2 KB on, junk among prose is found by chunks; below, only the whole text's ratio speaks."""
+    bands, rng = quality.Bands(), random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 4500").orderBy("doc_id").limit(60).collect()
+    good = [t for r in docs if bands.verdict(t := r.text.encode()[:4096])[2]]
+    junk = lambda n: base64.b64encode(rng.randbytes(n))[:n]
+    assert len(good) > 30
+    assert not any(bands.verdict(t + junk(3072))[2] for t in good)
+    assert not any(bands.verdict(t[:2048] + junk(2048) + t[2048:])[2] for t in good)
+    assert not any(bands.verdict(t + b"0" * 3072)[2] for t in good)
+    assert all(bands.verdict(t[:n])[2] for t in good for n in (2047, 2048, 3000, 4096))
+    least = 2 * quality.SMALL_BYTES
+    half = junk(least)
+    assert bands.odd_chunk_share(half[: least - 1]) == 0.0 and bands.odd_chunk_share(half) == 1.0
+    assert bands.odd_chunk_share(junk(2 * quality.CHUNK_BYTES - 1)) == 1.0
