@@ -13,7 +13,10 @@ the 64 bits make six blocks and a key holds at least 42 bits, so a bucket has 2*
 most, whatever the input. For the wide radius that a similarity of 0.8 needs, no split of the bits
 is selective and all pairs would be quadratic; there a text's keys are ``KEYS`` independent minima
 over its shingles, which two texts of similarity s share with probability 1 - (1 - s) ** KEYS
-(1 - 3e-6 at 0.8).
+(1 - 3e-6 at 0.8). Fingerprints within the wide radius are candidates only: a link is confirmed by the
+exact Jaccard similarity of the two texts' shingle sets, before any forest thins the links, so that a
+rejected candidate hides no link. A pair of fingerprints is taken up in the bucket of its first shared
+minimum, and only the texts of such pairs are read again and meet there.
 
 Components are smallest labels over links, by rounds of neighbour minima and label halving, each
 round written to the shared folder.
@@ -33,6 +36,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from . import scratch
 from .shingles import shingle_hashes
@@ -50,20 +54,22 @@ PIVOTS = 32
 
 @dataclass(frozen=True)
 class Scheme:
-    """What makes two texts near-duplicates: shingle width, fingerprint bits, radius in bits."""
+    """What makes two texts near-duplicates: shingle width, fingerprint bits, radius in bits; for a
+    wide radius, the similarity of shingle sets that confirms a candidate."""
 
     width: int
     bits: int = 64
     radius: int = 2
     wide: bool = False
+    similarity: float = 0.0
 
 
 #: Contract of the query: three words, 64 bits, two bits apart.
 NARROW = Scheme(3, 64, 2)
 #: Similarity of 0.8 on shingles of five words: a Jaccard similarity J is a cosine of 2 J / (1 + J),
 #: so J = 0.8 differs in 256 * acos(8 / 9) / pi = 38.8 bits, 5.7 standard deviation; the radius lets
-#: 97 of 100 such pairs through and 99.9 at J = 0.85; at J = 0.5 (68 bits) 3 of 1000 link.
-SIMILAR = Scheme(5, 256, 49, wide=True)
+#: all but 1 of 10000 such pairs through to be confirmed.
+SIMILAR = Scheme(5, 256, 60, wide=True, similarity=0.8)
 
 # Odd multipliers that derive further hashes from one.
 _MIX = tuple((0x9E3779B97F4A7C15 * (2 * i + 1) + 0x632BE59BD9B4E019 * i) & 0xFFFFFFFFFFFFFFFF | 1 for i in range(1, 33))
@@ -86,12 +92,27 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return counts
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Distinct shingle hashes of a text, sorted."""
+    runs = list(shingle_hashes(text, width))
+    return np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
+
+
 def sketch(text: str | None, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint as little-endian words of 64 bits, and the minima that serve as wide keys."""
+    """Fingerprint as little-endian words of 64 bits, and the minima that serve as wide keys.
+
+    A wide scheme compares sets of shingles, so there each shingle counts once.
+    """
+    return _sketched([shingle_set(text, scheme.width)] if scheme.wide else shingle_hashes(text, scheme.width), scheme)
+
+
+def _sketched(runs, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
     words = scheme.bits // 64
     counts, n = np.zeros((words, 64), np.int64), 0
     low = np.full(KEYS, np.iinfo(np.uint64).max, np.uint64)
-    for h in shingle_hashes(text, scheme.width):
+    for h in runs:
+        if not len(h):
+            continue
         n += len(h)
         for w in range(words):
             counts[w] += _bit_counts(h if w == 0 else _mixed(h, w))
@@ -190,6 +211,115 @@ def _bucket_links(radius: int, words: int):
     return run
 
 
+# ---- candidates and their confirmation ----------------------------------------------------------
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are equal."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return float(not len(y))
+    at = np.searchsorted(y, x)
+    shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return shared / (len(x) + len(y) - shared)
+
+
+def _near(fps: np.ndarray, x: np.ndarray, y: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Which of the rows ``x`` and ``y`` of ``fps`` (fingerprint, set size) may be similar enough."""
+    words = scheme.bits // 64
+    a, b = fps[x, words][:, None], fps[y, words][None, :]
+    return (_apart(fps[x, :words], fps[y, :words]) <= scheme.radius) & (np.minimum(a, b) >= scheme.similarity * np.maximum(a, b))
+
+
+def _tile_pairs(n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of tiles of a quarter of ``TILE`` rows of n."""
+    tiles = np.array_split(np.arange(n), -(-4 * n // TILE))
+    return ((x, y) for i, x in enumerate(tiles) for y in tiles[i:])
+
+
+def owned(fps: np.ndarray, keys: np.ndarray, key: int, scheme: Scheme) -> np.ndarray:
+    """Rows with a candidate of which ``key`` is the first minimum that both have."""
+    out = np.zeros(len(fps), bool)
+    for x, y in _tile_pairs(len(fps)):
+        if out[x].all() and out[y].all():
+            continue
+        p, q = np.nonzero(_near(fps, x, y, scheme))
+        p, q = x[p], y[q]
+        p, q = (z[p < q] for z in (p, q))
+        same = keys[p] == keys[q]
+        first = same.argmax(axis=1)
+        here = (keys[p, first] == key) | ~same.any(axis=1)
+        out[p[here]] = out[q[here]] = True
+    return out
+
+
+def confirmed_links(fps: np.ndarray, sets: list[np.ndarray], scheme: Scheme) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs of rows that are candidates and of which the sets are similar enough."""
+    label, out = np.arange(len(fps)), []
+    for x, y in _tile_pairs(len(fps)):
+        if (label[x] == label[y[0]]).all() and (label[y] == label[y[0]]).all():
+            continue
+        p, q = np.nonzero(_near(fps, x, y, scheme) & (label[x][:, None] != label[y][None, :]))
+        for a, b in zip(x[p].tolist(), y[q].tolist()):
+            if label[a] != label[b] and similarity(sets[a], sets[b]) >= scheme.similarity:
+                out.append((a, b))
+                label[label == max(label[a], label[b])] = min(label[a], label[b])
+    return out
+
+
+def _bucket_owned(scheme: Scheme):
+    """Task: rows (key, fp, keys, own) sorted by key -> (key, fp) of those with a candidate in the bucket."""
+
+    def close(key: int, own: int, held: dict[bytes, np.ndarray]) -> pd.DataFrame:
+        raw = sorted(held)
+        flags = owned(_nodes(raw), np.stack([held[r] for r in raw]), own, scheme)
+        return pd.DataFrame({"key": np.full(int(flags.sum()), key, np.int64), "fp": [r for r, f in zip(raw, flags) if f]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, {}
+        for b in batches:
+            for key, fp, keys, own in zip(b.key.tolist(), b.fp, b["keys"], b.own.tolist()):
+                if at != (key, own):
+                    if len(held) > 1:
+                        yield close(*at, held)
+                    at, held = (key, own), {}
+                held[bytes(fp)] = np.asarray(keys, np.int64)
+        if len(held) > 1:
+            yield close(*at, held)
+
+    return run
+
+
+def _bucket_confirmed(scheme: Scheme):
+    """Task: rows (key, fp, text) sorted by key -> confirmed links (a, b)."""
+
+    def close(held: dict[bytes, np.ndarray]) -> pd.DataFrame:
+        raw = sorted(held)
+        found = confirmed_links(_nodes(raw), [held[r] for r in raw], scheme)
+        return pd.DataFrame({"a": [raw[i] for i, _ in found], "b": [raw[j] for _, j in found]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, {}
+        for b in batches:
+            for key, fp, text in zip(b.key.tolist(), b.fp, b.text):
+                if at != key:
+                    if len(held) > 1:
+                        yield close(held)
+                    at, held = key, {}
+                if (fp := bytes(fp)) not in held:
+                    held[fp] = shingle_set(text, scheme.width)
+        if len(held) > 1:
+            yield close(held)
+
+    return run
+
+
+def _nodes(raw: list[bytes]) -> np.ndarray:
+    """Rows of 64-bit words."""
+    return np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), -1)
+
+
 # ---- plans -------------------------------------------------------------------------------------
 
 
@@ -200,13 +330,28 @@ def _row_key(id_col: str, text_col: str) -> list:
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_none, _id, _hash (the row), fp (words in big-endian bytes) and the wide keys of fp."""
+    """_none, _id, _hash (the row), fp (words in big-endian bytes) and the wide keys of fp.
+
+    In a wide scheme size and 128-bit hash of the shingle set follow the fingerprint in fp, so only
+    texts of equal sets share it.
+    """
+
+    def wide(b: pd.DataFrame) -> pd.DataFrame:
+        fps, keys = [], []
+        for t in b._text:
+            some = shingle_set(t, scheme.width)
+            f, low = _sketched([some], scheme)
+            fps.append(f.astype(">u8").tobytes() + len(some).to_bytes(8, "big") + xxh3_128_digest(some.tobytes()))
+            keys.append(low.view(np.int64))
+        return b.drop(columns="_text").assign(fp=fps, keys=keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if scheme.wide:
+                yield wide(b)
+                continue
             done = [sketch(t, scheme) for t in b._text]
-            keys = [low.view(np.int64) for _, low in done] if scheme.wide else [[] for _ in done]
-            yield b.drop(columns="_text").assign(fp=[f.astype(">u8").tobytes() for f, _ in done], keys=keys)
+            yield b.drop(columns="_text").assign(fp=[f.astype(">u8").tobytes() for f, _ in done], keys=[[] for _ in done])
 
     rows = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("_text"))
     return rows.mapInPandas(run, "_none boolean, _id long, _hash long, fp binary, keys array<long>")
@@ -225,26 +370,39 @@ def _meetings(prints: DataFrame, scheme: Scheme) -> DataFrame:
     return prints.select("fp").distinct().mapInPandas(run, "key long, fp binary")
 
 
-def _split(met: DataFrame) -> DataFrame:
-    """``met`` with buckets of over ``BUCKET`` fingerprints cut into parts by a hash, and every two parts
+def _split(met: DataFrame, most: int) -> DataFrame:
+    """``met`` with buckets of over ``most`` fingerprints cut into parts by a hash, and every two parts
     of one made a bucket of their own: no pair is lost, and no task holds more than two parts."""
     met = scratch.materialise(met, "meetings")
-    heavy = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
-    heavy = scratch.materialise(heavy.select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts")), "heavy")
+    heavy = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    heavy = scratch.materialise(heavy.select("key", F.ceil(F.col("n") / most).cast("int").alias("parts")), "heavy")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: t != own)
     keys = F.when(F.col("parts").isNull(), F.array("key")).otherwise(F.transform(others, lambda t: F.xxhash64("key", F.least(own, t), F.greatest(own, t))))
-    return met.join(heavy, "key", "left").select(F.explode(keys).alias("key"), "fp")
+    return met.join(heavy, "key", "left").select(F.explode(keys).alias("key"), *(c for c in met.columns if c != "key"))
 
 
 def links(prints: DataFrame, scheme: Scheme) -> DataFrame:
     """Links (a, b) between distinct fingerprints; their components are those of all links."""
-    met = _split(_meetings(prints, scheme))
+    met = _split(_meetings(prints, scheme), BUCKET)
     tasks = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     run = _bucket_links(scheme.radius, scheme.bits // 64)
     return met.repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(run, "a binary, b binary")
 
 
+def similar_links(docs: DataFrame, prints: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
+    """Confirmed links (a, b) of a wide scheme; their components are those of all links."""
+    tasks = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = lambda df: df.repartition(tasks, "key").sortWithinPartitions("key")
+    met = prints.select("fp", "keys").distinct().select(F.explode(F.array_distinct("keys")).alias("key"), "fp", "keys").withColumn("own", F.col("key"))
+    taken = scratch.materialise(dealt(_split(met, BUCKET // 4)).mapInPandas(_bucket_owned(scheme), "key long, fp binary"), "candidates")
+    first = prints.groupBy("fp").agg(F.min(F.struct("_none", "_id", "_hash")).alias("first"))
+    rows = taken.join(first.hint("merge"), "fp").select("key", "fp", "first.*")
+    texts = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("text"))
+    met = texts.join(rows.hint("merge"), ["_none", "_id", "_hash"]).select("key", "fp", "text")
+    return dealt(met).mapInPandas(_bucket_confirmed(scheme), "a binary, b binary")
+
+
 def smallest_labels(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label): for every node of ``edges`` (a, b) the smallest node of its component.
 
@@ -273,7 +431,8 @@ def components(docs: DataFrame, scheme: Scheme = NARROW, id_col: str = "doc_id",
     """A row per document: its row key, doc_id, fp, and of its component the first row (``first``) and
     its id ``component_id``, the smallest that links reach, itself included."""
     prints = scratch.materialise(fingerprints(docs, scheme, id_col, text_col), "fingerprints")
-    edges = scratch.materialise(links(prints, scheme), "links")
+    found = similar_links(docs, prints, scheme, id_col, text_col) if scheme.wide else links(prints, scheme)
+    edges = scratch.materialise(found, "links")
     labels = smallest_labels(edges)
     first = prints.groupBy("fp").agg(F.min(F.struct("_none", "_id", "_hash")).alias("first"))
     by_fp = scratch.materialise(first.join(labels, first.fp == labels.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "labelled")

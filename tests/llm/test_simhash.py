@@ -178,3 +178,37 @@ def test_edges(edge_docs, no_docs):
     assert kept.columns == edge_docs.columns
     assert sorted(kept.collect(), key=str) == sorted(edge_docs.where("doc_id in (1, 3, 4, 6) or doc_id is null").distinct().collect(), key=str)
     assert simhash.keep_one(no_docs).count() == 0
+
+
+def test_links_are_confirmed_by_similarity(spark, monkeypatch):
+    """Texts of a shared boilerplate at J of 0.55 to 0.95: components are those of all pairs at 0.8 or more."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    shared = [word() for _ in range(300)]
+    rows = [(i, " ".join(shared + [word() for _ in range(rng.choice([10, 30, 60, 75, 90, 120]))])) for i in range(90)]
+    rows += [(90 + i, " ".join(shared[:200])) for i in range(3)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    want = sorted(i for i in sets if root(i) == i)
+    assert 30 < len(want) < 90
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for bucket in (simhash.BUCKET, 40):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+
+
+def test_rejected_candidates_hide_no_link():
+    x = np.arange(1000, dtype=np.uint64)
+    sets = [x[:800], x[100:900], x[100:905]]
+    fps = np.array([[0, 0, 0, 0, len(s)] for s in sets], np.uint64)
+    assert simhash.confirmed_links(fps, sets, simhash.SIMILAR) == [(1, 2)]
