@@ -7,7 +7,8 @@ recur, so those of a group of texts are found by numpy, a bounded cache holds th
 tokenizer has given to earlier ones, and new ones go to it many at a time. Ids equal those of
 encoding each text whole.
 
-A piece is known by a 64-bit hash: two of n pieces collide with probability n * n / 2**65.
+A piece is looked up by a 64-bit hash and compared with the bytes that it stands for, in its group
+and in the cache; a text with a piece that differs from them goes to the tokenizer as it is.
 """
 
 from __future__ import annotations
@@ -46,9 +47,10 @@ class Encoder:
         #: Whether an id's bytes begin with a space.
         self.spaced = np.zeros(max(names.values()) + 1, bool)
         self.spaced[[i for x, i in names.items() if x.startswith(space)]] = True
-        # the cache: sorted hashes, the group that used each last, where its ids are and how many
+        # the cache: sorted hashes, the group that used each last, where its ids and bytes are and how many
         self.keys, self.used, self.first, self.count = np.zeros(0, np.uint64), _NONE, _NONE, _NONE
-        self.ids, self.groups = np.zeros(0, "<u4"), 0
+        self.begin, self.size = _NONE, _NONE
+        self.ids, self.bytes, self.groups = np.zeros(0, "<u4"), np.zeros(0, np.uint8), 0
         self.powers = self.inverses = np.ones(1, np.uint64)
 
     # ---- pieces of a group -----------------------------------------------------------------------
@@ -107,11 +109,16 @@ class Encoder:
         first[order] = np.cumsum(counts[order]) - counts[order]
         return np.concatenate(ids + got), np.stack([first, counts])
 
-    def _learn(self, keys: np.ndarray, some: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Add pieces to the cache."""
+        some = [p.decode() for p in pieces]
         ids, (first, count) = self._tokenised(some)
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
+        size = np.array([len(p) for p in pieces], np.int64)
+        self.begin = np.concatenate([self.begin, np.cumsum(size) - size + len(self.bytes)])[order]
+        self.size = np.concatenate([self.size, size])[order]
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
         first = np.concatenate([self.first, first + len(self.ids)])[order]
         self.keys, self.first, self.count = keys[order], first, np.concatenate([self.count, count])[order]
         self.used = np.concatenate([self.used, np.full(len(some), self.groups)])[order]
@@ -123,6 +130,8 @@ class Encoder:
         self.keys, self.used = self.keys[stay], self.used[stay]
         self.ids, edges = _gathered(self.ids, self.first[stay], self.count[stay])
         self.first, self.count = edges[:-1], self.count[stay]
+        self.bytes, edges = _gathered(self.bytes, self.begin[stay], self.size[stay])
+        self.begin, self.size = edges[:-1], self.size[stay]
 
     # ---- texts -----------------------------------------------------------------------------------
 
@@ -157,9 +166,14 @@ class Encoder:
         known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
         if not known.all():
             new = at[~known]
-            self._learn(keys[~known], [blob[a:b].decode() for a, b in zip(begin[new].tolist(), end[new].tolist())])
+            self._learn(keys[~known], [blob[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist())])
             place = np.searchsorted(self.keys, keys)
         self.used[place] = self.groups
+        other = ~_equal(data, begin[at], end[at] - begin[at], self.bytes, self.begin[place], self.size[place])[piece]
+        other |= ~_equal(data, begin, end - begin, data, begin[at][piece], (end - begin)[at][piece])
+        if other.any():
+            again = np.unique(np.searchsorted(edges, begin[other], "right") - 1).tolist()
+            whole |= dict(zip(again, self._each([texts[i] for i in again])))
         ids, bounds = _gathered(self.ids, self.first[place][piece], self.count[place][piece])
         of_text = bounds[np.searchsorted(begin, edges)]
         if len(self.keys) > 2 * CACHE_PIECES:
@@ -187,6 +201,17 @@ def _gathered(ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np
     return ids[np.repeat(first - edges[:-1], count) + np.arange(edges[-1])], edges
 
 
+def _equal(x: np.ndarray, x_at: np.ndarray, x_size: np.ndarray, y: np.ndarray, y_at: np.ndarray, y_size: np.ndarray) -> np.ndarray:
+    """Whether the runs of ``x`` and of ``y``, none of them empty, are equal, two by two."""
+    size = np.minimum(x_size, y_size)
+    if not len(size):
+        return np.zeros(0, bool)
+    edges = np.cumsum(size) - size
+    step = np.arange(size.sum()) - np.repeat(edges, size)
+    differ = x[np.repeat(x_at, size) + step] != y[np.repeat(y_at, size) + step]
+    return ~np.logical_or.reduceat(differ, edges) & (x_size == y_size)
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The worker's encoder, kept between its tasks."""

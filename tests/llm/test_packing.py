@@ -43,6 +43,20 @@ def test_ids_do_not_depend_on_the_group(monkeypatch):
     assert all("".join(slices(t, 5)) == t for t in texts if t)
 
 
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_pieces_of_equal_hashes_are_told_apart(n):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2**64 in any odd base."""
+    enc = Encoder(TOK)
+    word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((word + other).encode(), np.uint8)
+    h = enc.hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+    assert h[0] == h[1]
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in (word, other, f"x {word} y", f"{other} {word}")]
+    assert [x.tolist() for x in enc.encode_many([word, other, f"x {word} y", f"{other} {word}"])] == want
+    assert enc.encode(other).tolist() == want[1] and enc.encode(word).tolist() == want[0]  # from the cache
+
+
 def test_ids_of_real_texts(spark):
     enc = Encoder(TOK)
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
