@@ -148,7 +148,7 @@ def tile_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Spanning forest of the links among the rows of ``fps`` (n, words) at ``radius`` bits or fewer.
 
     Rows of one component need no comparison, so a large bucket is first compared with a few of its
-    rows; then tiles, sorted by component and population count, are compared with each other.
+    rows; then tiles, cut in the order of population counts, are compared with each other.
     """
     label, out = np.arange(len(fps)), []
 
@@ -173,13 +173,13 @@ def tile_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
             out += [(p, int(near[i])) for k, i in zip(labels, at) if k != label[p]]
             label[np.isin(label, labels)] = min(label[p], labels.min())
     pop = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
-    order = np.lexsort((pop, label))
+    order = np.argsort(pop, kind="stable")
     tiles = [order[i : i + TILE] for i in range(0, len(order), TILE)]
-    low, high = [int(pop[t].min()) for t in tiles], [int(pop[t].max()) for t in tiles]
     for i, x in enumerate(tiles):
-        for j in range(i, len(tiles)):
-            y = tiles[j]
-            if max(low[i], low[j]) - min(high[i], high[j]) > radius or label[x[0]] == label[y[-1]] and (label[x] == label[x[0]]).all() and (label[y] == label[x[0]]).all():
+        for y in tiles[i:]:
+            if pop[y[0]] - pop[x[-1]] > radius:
+                break  # so do all tiles after it
+            if (label[x] == label[x[0]]).all() and (label[y] == label[x[0]]).all():
                 continue
             p, q = np.nonzero((_apart(fps[x], fps[y]) <= radius) & (label[x][:, None] != label[y][None, :]))
             join(x[p], y[q])
@@ -232,21 +232,27 @@ def _near(fps: np.ndarray, x: np.ndarray, y: np.ndarray, scheme: Scheme) -> np.n
     return (_apart(fps[x, :words], fps[y, :words]) <= scheme.radius) & (np.minimum(a, b) >= scheme.similarity * np.maximum(a, b))
 
 
-def _tile_pairs(n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of tiles of a quarter of ``TILE`` rows of n."""
-    tiles = np.array_split(np.arange(n), -(-4 * n // TILE))
-    return ((x, y) for i, x in enumerate(tiles) for y in tiles[i:])
+def _tile_pairs(fps: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of tiles of a quarter of ``TILE`` rows, in the order of set sizes; none of which sizes differ too much."""
+    sizes = fps[:, scheme.bits // 64]
+    order = np.argsort(sizes, kind="stable")
+    tiles = np.array_split(order, -(-4 * len(fps) // TILE))
+    for i, x in enumerate(tiles):
+        for y in tiles[i:]:
+            if sizes[x[-1]] < scheme.similarity * sizes[y[0]]:
+                break
+            yield x, y
 
 
 def owned(fps: np.ndarray, keys: np.ndarray, key: int, scheme: Scheme) -> np.ndarray:
     """Rows with a candidate of which ``key`` is the first minimum that both have."""
     out = np.zeros(len(fps), bool)
-    for x, y in _tile_pairs(len(fps)):
+    for x, y in _tile_pairs(fps, scheme):
         if out[x].all() and out[y].all():
             continue
         p, q = np.nonzero(_near(fps, x, y, scheme))
         p, q = x[p], y[q]
-        p, q = (z[p < q] for z in (p, q))
+        p, q = (z[p != q] for z in (p, q))
         same = keys[p] == keys[q]
         first = same.argmax(axis=1)
         here = (keys[p, first] == key) | ~same.any(axis=1)
@@ -257,7 +263,7 @@ def owned(fps: np.ndarray, keys: np.ndarray, key: int, scheme: Scheme) -> np.nda
 def confirmed_links(fps: np.ndarray, sets: list[np.ndarray], scheme: Scheme) -> list[tuple[int, int]]:
     """Spanning forest of the pairs of rows that are candidates and of which the sets are similar enough."""
     label, out = np.arange(len(fps)), []
-    for x, y in _tile_pairs(len(fps)):
+    for x, y in _tile_pairs(fps, scheme):
         if (label[x] == label[y[0]]).all() and (label[y] == label[y[0]]).all():
             continue
         p, q = np.nonzero(_near(fps, x, y, scheme) & (label[x][:, None] != label[y][None, :]))
