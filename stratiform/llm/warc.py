@@ -170,10 +170,11 @@ def read_records(raw, with_payload: bool = False) -> Iterator[tuple]:
             sha.update(got)
             if with_payload:
                 kept.append(got)
-        if src.take(4) + src.take(3) != b"\r\n\r\n" and src.out != b"":
-            raise WarcError("a block is longer than its Content-Length")
-        if src.more() and (src.out or not src.z.eof):
-            raise WarcError("a member holds more than one record")
+        after = b""
+        while len(after) < 5 and (got := src.take(5 - len(after))):
+            after += got
+        if after != b"\r\n\r\n":
+            raise WarcError("a block does not end where its Content-Length says")
         kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha256:")
         if kind == "response" and (sha.hexdigest() != digest or int(head["content-length"]) != int(head["x-payload-length"])):
             raise WarcError(f"digest mismatch in the record of page {head.get('x-page-id')}")

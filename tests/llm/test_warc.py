@@ -67,7 +67,12 @@ def record(**other):
     return text.encode() + payload + b"\r\n\r\n"
 
 
+def revisit():
+    return b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Payload-Digest: sha256:00\r\nX-Payload-Length: 250\r\nX-Page-Id: 2\r\nX-Refers-To-Page-Id: 1\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+
+
 def test_good_record():
+    assert len(list(warc.read_records(io.BytesIO(gzip.compress(revisit()) * 2)))) == 2
     assert len(list(warc.read_records(io.BytesIO(gzip.compress(record()) * 3)))) == 3
 
 
@@ -81,6 +86,10 @@ def test_good_record():
         gzip.compress(record()) + b"junk that is no member",
         gzip.compress(record() + record()),
         gzip.compress(b"no header"),
+        *(gzip.compress(record()[: len(record()) - k]) for k in (1, 3, 4)),
+        *(gzip.compress(record() + b"abc"[:k]) for k in (1, 2, 3)),
+        *(gzip.compress(revisit() + b"abc"[:k]) for k in (1, 2, 3)),
+        *(gzip.compress(revisit()[: len(revisit()) - k]) for k in (1, 3, 4)),
     ],
 )
 def test_damage_is_noticed(data):
