@@ -126,6 +126,16 @@ def content_hash(name: Column, trigger: Column, content: Column) -> Column:
     return F.sha2(F.concat(F.lit('{"content": '), quoted(content), F.lit(', "name": '), quoted(name), F.lit(', "trigger": '), quoted(trigger), F.lit("}")), 256)
 
 
+def node_text(name: Column, trigger: Column, content: Column) -> Column:
+    """What a card is found by: its fields under their names."""
+    return stripped(F.concat(*(x for k, c in (("name: ", name), ("\ntrigger: ", trigger), ("\ncontent: ", content)) for x in (F.lit(k), stripped(c)))))
+
+
+def node_prompt(name: Column, trigger: Column, content: Column) -> Column:
+    """How a card is shown to a model."""
+    return stripped(F.concat(F.lit("### "), stripped(name), F.lit("\n\nTrigger: "), stripped(trigger), F.lit("\n\nGuidance:\n"), stripped(content)))
+
+
 def month_number(name: Column) -> Column:
     months = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
     return F.array_position(F.array(*map(F.lit, months)), F.lower(name)).cast("int")

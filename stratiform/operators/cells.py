@@ -30,8 +30,71 @@ def range_cells(spec: Column, last_column: int = 26, last_row: int = 1000) -> Co
     return F.flatten(F.transform(F.sequence(c0, c1), lambda c: F.transform(F.sequence(r0, r1), lambda r: F.concat(column_name(c), r.cast("string")))))
 
 
+#: A cell: kind is number, text, boolean, datetime or time; a cell of no kind is empty.
+CELL = "struct<kind:string, value:string>"
+_NUMBER = r"(?i)^\s*[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?\s*$"
+_SPECIAL = r"(?i)^\s*[+-]?(inf(inity)?|nan)\s*$"
+#: Above it doubles lie farther apart than the places that are kept.
+_COARSE = 2.0**46
+
+
+def rounded_to_cents(x: Column) -> Column:
+    """The double nearest to ``x`` at two places; what lies exactly between two goes to the even one.
+
+    The exact product with 100 is p + err, with err from a split of ``x`` into two halves, so a value
+    such as 2.675, which is a little less than it looks, goes down.
+    """
+
+    def of(v: Column) -> Column:
+        p, high = v * 100.0, v * 134217729.0 - (v * 134217729.0 - v)
+        err, whole = (high * 100.0 - p) + (v - high) * 100.0, F.floor(p).cast("double")
+        beyond = (p - whole) - 0.5
+        up = (beyond > 0) | ((beyond == 0) & ((err > 0) | ((err == 0) & (F.pmod(whole, F.lit(2.0)) == 1))))
+        return F.when(F.isnan(v) | (F.abs(v) >= _COARSE), v).otherwise((whole + F.when(up, 1.0).otherwise(0.0)) / 100.0)
+
+    return F.element_at(F.transform(F.array(x), of), 1)
+
+
+def parsed_number(text: Column) -> Column:
+    """A text that spells a number as a double, else null."""
+    plain = F.when(text.rlike(_NUMBER), F.replace(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("_"), F.lit("")).try_cast("double"))
+    word = F.lower(F.regexp_extract(text, _SPECIAL, 1))
+    special = F.when(word == "nan", float("nan")).when(word != "", F.when(F.contains(text, F.lit("-")), float("-inf")).otherwise(float("inf")))
+    return F.coalesce(plain, special)
+
+
+def serial_days(moment: Column) -> Column:
+    """Days since 1899-12-30, to the nearest whole one (halves to the even one)."""
+    t = moment.try_cast("timestamp_ntz")
+    seconds = F.hour(t) * 3600 + F.minute(t) * 60 + F.floor(F.second(t))
+    return F.rint(F.datediff(F.to_date(t), F.lit("1899-12-30").cast("date")) + seconds / 86400.0)
+
+
+def same_cell(a: Column, b: Column) -> Column:
+    """Whether two cells (``CELL``) are equal once normalised.
+
+    Empty and '' are one. Numbers, booleans and texts that spell a number are compared at two places,
+    date-times by whole serial days, times as text without the last three characters. A number never
+    equals a text, and what is not a number equals nothing.
+    """
+
+    def number(c: Column) -> Column:
+        v = F.when(c["kind"] == "boolean", F.when(F.lower(c["value"]) == "true", 1.0).otherwise(0.0)).when(c["kind"].isin("number", "text"), parsed_number(c["value"]))
+        return F.when(c["kind"] == "datetime", serial_days(c["value"])).otherwise(rounded_to_cents(v))
+
+    def text(c: Column) -> Column:
+        return F.when(c["kind"] == "time", F.left(c["value"], F.greatest(F.lit(0), F.length(c["value"]) - 3))).when(c["kind"] == "text", c["value"])
+
+    empty = lambda c: c.isNull() | c["kind"].isNull() | c["value"].isNull() | ((c["kind"] == "text") & (c["value"] == ""))
+    x, y = number(a), number(b)
+    numeric = F.when(x.isNotNull() & y.isNotNull(), (x == y) & ~F.isnan(x)).when(x.isNotNull() | y.isNotNull(), F.lit(False))
+    return F.when(empty(a) | empty(b), empty(a) & empty(b)).otherwise(F.coalesce(numeric, text(a) == text(b), F.lit(False)))
+
+
+def cell(kind: str | Column, value: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.cast("string").alias("value"))
+
+
 def same_value(a: Column, b: Column) -> Column:
-    """Equal after normalising: null and '' are one, numbers agree to half a cent, others must match."""
-    x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
-    p, q = x.try_cast("double"), y.try_cast("double")
-    return F.when(p.isNotNull() & q.isNotNull(), F.abs(p - q) < 0.005).when(p.isNotNull() | q.isNotNull(), F.lit(False)).otherwise(x == y)
+    """``same_cell`` of two text cells."""
+    return same_cell(cell("text", a), cell("text", b))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import records, scoring
+from ..operators import cells, records, scoring
 from ..sources import readers, sinks
 from ..streaming import admission
 from .members import rounded
@@ -150,12 +150,6 @@ def cache_misses(spark, sf):
     return records.cache_misses(d, d.where("doc_id % 2 = 0").select(F.sha2("text", 256).alias("key")))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '')::INT AS page FROM pages")
-def url_page_refs(spark, sf):
-    p = table(spark, sf, "pages")
-    return p.select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), F.nullif(F.regexp_extract("url", r"[?&]page=([0-9]+)", 1), F.lit("")).cast("int").alias("page"))
-
-
 @query(r"""WITH p AS (SELECT 'docs/' || (page_id % 5) || '/f' || (page_id % 120) || '.json' AS path FROM pages GROUP BY 1), n AS (SELECT regexp_extract(path, '([^/]+)$', 1) AS f, count(*) AS n, min(path) AS one FROM p GROUP BY 1),
 w AS (SELECT path AS file FROM p UNION SELECT f FROM n UNION SELECT 'none.json')
 SELECT file, coalesce(p.path, CASE WHEN n.n = 1 THEN one END) AS path FROM w LEFT JOIN p ON p.path = file LEFT JOIN n ON n.f = file""")
@@ -192,22 +186,13 @@ def online_statistics(spark, sf):
     return rounded(admission.online_update(e, 64), "mass", "first", "second")
 
 
-@query("""WITH w AS (SELECT cell, c, r FROM (SELECT CASE WHEN c <= 26 THEN chr((64 + c)::INT) ELSE chr((64 + (c - 1) // 26)::INT) || chr((65 + (c - 1) % 26)::INT) END || r AS cell, c, r FROM (SELECT unnest(range(25, 29)) AS c), (SELECT unnest(range(2, 5)) AS r)))
-SELECT cell, (row_number() OVER (ORDER BY c, r) - 1)::INT AS pos FROM w""")
+@query("""WITH w AS (SELECT p_partkey, 1 + p_partkey % 60 AS c0, p_size % 3 AS dc, 1 + p_size AS r0 FROM part), x AS (SELECT p_partkey, c0, r0, unnest(range(c0, c0 + dc + 1)) AS c FROM w), y AS (SELECT *, unnest(range(r0, r0 + 2)) AS r FROM x)
+SELECT p_partkey, CASE WHEN c <= 26 THEN chr((64 + c)::INT) ELSE chr((64 + (c - 1) // 26)::INT) || chr((65 + (c - 1) % 26)::INT) END || r AS cell, (row_number() OVER (PARTITION BY p_partkey ORDER BY c, r) - 1)::INT AS pos FROM y""")
 def a1_range_cells(spark, sf):
-    from ..operators import cells
-
-    return spark.range(1).select(F.posexplode(cells.range_cells(F.lit("Y2:AB4"))).alias("pos", "cell"))
-
-
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 0 THEN (l_returnflag = l_linestatus)::INT WHEN l_linenumber % 4 = 3 THEN 1 ELSE (abs(l_tax - l_discount) < 0.005)::INT END = 1 AS same FROM lineitem""")
-def cell_compare(spark, sf):
-    from ..operators import cells
-
-    k = F.col("l_linenumber") % 4
-    a = F.when(k == 0, F.col("l_returnflag")).when(k == 3, F.lit(None).cast("string")).otherwise(F.col("l_tax").cast("string"))
-    b = F.when(k == 0, F.col("l_linestatus")).when(k == 3, "").otherwise(F.col("l_discount").cast("string"))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", cells.same_value(a, b).alias("same"))
+    """Cells of a range per part, columns before rows, across the step from Z to AA."""
+    first, size = (1 + F.col("p_partkey") % 60).cast("int"), F.col("p_size")
+    spec = F.concat(cells.column_name(first), F.lit("$"), (1 + size).cast("string"), F.lit(":"), cells.column_name(first + (size % 3).cast("int")), (2 + size).cast("string"))
+    return table(spark, sf, "part").select("p_partkey", F.posexplode(cells.range_cells(spec)).alias("pos", "cell"))
 
 
 @query(f"WITH {RESULTS_SQL} SELECT count(*) AS n, count(*) FILTER (passed) AS passed FROM res")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import bank, budget, hierarchy, mixture, refinement
-from ..sources.scratch import kept
+from ..sources.scratch import kept, new_path
+from ..streaming import admission
 from .members import rounded
 from .registry import query, table
 from .texts import HASHED
@@ -84,8 +86,6 @@ _MODEL_SQL = "g AS (SELECT * FROM (VALUES " + ", ".join(f"({c}, {v}::DOUBLE, [{'
 t AS (SELECT *, max(lp) OVER (PARTITION BY vec_id) AS top FROM lp)
 SELECT vec_id::VARCHAR AS item_id, 'C' || c AS community_id, round(exp(lp - top) / sum(exp(lp - top)) OVER (PARTITION BY vec_id), 6) AS w FROM t""")
 def responsibilities_fixed_model(spark, sf):
-    import numpy as np
-
     fit = mixture.Fit(4, np.full(4, 0.25), np.array(_MEANS), np.repeat(np.array(_VARS)[:, None], 64, axis=1))
     v = vectors(spark, sf).select(F.col("vec_id").cast("string").alias("item_id"), "vec")
     return rounded(mixture.posterior(v, fit, [f"C{i}" for i in range(4)]), "w")
@@ -182,12 +182,10 @@ def leak_sanitise(spark, sf):
 
 @query()
 def incremental_admit(spark, sf):
-    """Arrivals by id joined to a saved level of four components, with a token budget."""
-    import numpy as np
+    """All vectors, in order of id, admitted to a saved level of four components, with a token budget."""
+    v = vectors(spark, sf).select(F.col("vec_id").cast("string").alias("item_id"), "vec", (20 + F.col("vec_id") % 30).alias("tokens"), F.col("vec_id").alias("pos"))
+    return admission.admit_backlog(v, admission_start(), 600, new_path(spark, "admitted")).drop("batch", "rejected", "rejected_w", "rejected_cost")
 
-    from ..streaming import admission
 
-    state = admission.LevelState([f"C{i}" for i in range(4)], np.full(4, 0.25), np.array(_MEANS), np.full((4, 64), 0.02), np.full(4, 50.0), np.zeros(4, int))
-    v = vectors(spark, sf).where("vec_id % 10 = 3").select(F.col("vec_id").cast("string").alias("item_id"), "vec", (20 + F.col("vec_id") % 30).alias("tokens"), F.col("vec_id").alias("pos"))
-    _, edges = admission.admit_batch(state, v, 600)
-    return spark.createDataFrame(edges, admission.ADMITTED)
+def admission_start() -> admission.LevelState:
+    return admission.LevelState([f"C{i}" for i in range(4)], np.full(4, 0.25), np.array(_MEANS), np.full((4, 64), 0.02), np.full(4, 50.0), np.zeros(4, int))

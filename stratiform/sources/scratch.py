@@ -3,17 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(table: DataFrame) -> DataFrame:
-    """``table`` as a reliable checkpoint: lineage is cut and a lost executor loses none of it.
+def shared_folder(spark: SparkSession) -> str:
+    """URI of ``spark.checkpoint.dir``, without a trailing slash.
 
-    The folder is the session's; only where none is set (tests, one machine) is a local one chosen.
+    Only a local session may leave it unset; it gets a folder of its own.
     """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='stratiform-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    at = at.rstrip("/")
+    return at if ":" in at.split("/", 1)[0] else f"file://{at}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(table: DataFrame) -> DataFrame:
+    """``table`` as a reliable checkpoint: lineage is cut and a lost executor loses none of it."""
     sc = table.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        at = table.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='stratiform-')}")
+        sc.setCheckpointDir(shared_folder(table.sparkSession))
     return table.checkpoint()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file system layer has something at ``path``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

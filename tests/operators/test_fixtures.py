@@ -181,7 +181,7 @@ def test_stream_of_arrivals(spark, tmp_path):
     frame(spark, rows, "item_id string, vec array<double>, tokens long, pos long").repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("item_id string, vec array<double>, tokens long, pos long").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
     admission.run_stream(stream, level((0, 0)), 50, str(tmp_path / "out"), str(tmp_path / "ck"))
-    got = admission.accounting(spark.read.parquet(str(tmp_path / "out"))).first()
+    got = admission.accounting(admission.admitted(spark, str(tmp_path / "out"))).first()
     assert (got.arrivals, got.updated, got.excluded) == (20, 19, 1)
 
 
@@ -268,13 +268,27 @@ def test_jsonl_shapes(spark):
 
 
 def test_banks_round_trip(spark, tmp_path):
-    assert sinks.latest_batch is not None
+    at = f"file://{tmp_path}/bank"
+    nodes = frame(spark, [("n", "a", "b", "c", 2, 1.5, 0.25), ("m", "a", "b", None, 1, 1.0, 1.0)], "node_id string, name string, trigger string, content string, level int, support_mass double, confidence double")
+    assert sinks.write_bank(nodes, at) == 2
+    (got,) = readers.read_bank(spark, at).collect()
+    assert (got.node_id, got.item_id, got.name, got.level, got.support_mass, got.confidence) == ("n", "n", "a", 2, 1.5, 0.25)
+    assert got.embedding_text == "name: a\ntrigger: b\ncontent: c"
+    with pytest.raises(ValueError, match="needs a reason"):
+        sinks.write_bank(nodes.limit(0), f"{at}0")
+    assert sinks.write_bank(nodes.limit(0), f"{at}1", reason_if_empty="nothing split") == 0
+    assert readers.read_bank(spark, f"{at}1", empty_ok=True).count() == 0
+    with pytest.raises(ValueError, match="no node"):
+        readers.read_bank(spark, f"{at}1")
+
+
+def test_banks_of_one_file(spark, tmp_path):
     bank_json = {"format": readers.BANK_FORMAT, "nodes": [{"node_id": "n", "name": "a", "trigger": "b", "content": "c"}, {"node_id": "m", "name": "a"}]}
     (tmp_path / "bank.json").write_text(json.dumps(bank_json))
     assert [r.node_id for r in readers.read_bank(spark, str(tmp_path / "bank.json")).collect()] == ["n"]
-    (tmp_path / "other.json").write_text(json.dumps({"format": "x", "nodes": []}))
+    (tmp_path / "other.json").write_text(json.dumps({"format": "x", "nodes": [{"node_id": "n", "trigger": "b", "content": "c"}]}))
     with pytest.raises(Exception, match="another format"):
-        readers.read_bank(spark, str(tmp_path / "other.json")).collect()
+        readers.read_bank(spark, str(tmp_path / "other.json"))
 
 
 def test_usage(spark):
