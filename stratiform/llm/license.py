@@ -19,7 +19,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Known sentences, in the order of their identifiers; {} stands for any words.
+# Known sentences, by their identifiers.
 SENTENCES = {
     "apache2_line": "licensed under the apache license version 2 0",
     "apache2_line_the": "licensed under the apache license version 2 0 the license",
@@ -53,30 +53,61 @@ SENTENCES = {
     "cc_by_nc_line": "licensed under cc by nc 4 0",
     "cc_by_nc_sa_line": "licensed under cc by nc sa 4 0",
     "cc_by_nd_line": "licensed under cc by nd 4 0",
-    "spdx_apache2": "spdx license identifier apache 2 0",
-    "spdx_mit": "spdx license identifier mit",
-    "spdx_bsd3": "spdx license identifier bsd 3 clause",
-    "spdx_gpl3": "spdx license identifier gpl 3 0 only",
+    "gpl2_only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl3_only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation",
+    "agpl3_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl_see": "see the gnu affero general public license for more details",
+    "lgpl21_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl3_program": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl_warranty": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "mpl2_copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl11_line": "the contents of this file are subject to the mozilla public license version 1 1 the license",
+    "epl2_line": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "epl1_line": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",
+    "zlib_as_is": "this software is provided as is without any express or implied warranty",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "bsl_line": "distributed under the boost software license version 1 0",
+    "bsl_grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "artistic2_title": "the artistic license 2 0",
+    "wtfpl_title": "do what the fuck you want to public license",
+    "zero_bsd_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "mit0_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+    "postgresql_grant": "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+    "ncsa_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "ofl_line": "this font software is licensed under the sil open font license version 1 1",
+    "cddl_line": "the contents of this file are subject to the terms of the common development and distribution license the license",
+    "eupl_line": "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl the licence",
+    "eupl_only": "licensed under the eupl version 1 2 only the licence",
+    "psf_line": "this license agreement is between the python software foundation psf and the individual or organization licensee accessing and otherwise using this software python in source or binary form and its associated documentation",
+    "cc_by_work": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc_by_sa_work": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc_by_nc_work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc_by_nd_work": "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    "cc_by_nc_sa_work": "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    "cc_by_nc_nd_work": "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
     "reserved": "all rights reserved",
 }
+# Names that an identifier line may give; each makes a sentence and a rule of its own.
+SPDX_NAMES = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "NCSA", "OFL-1.1", "PostgreSQL", "Python-2.0", "Unlicense", "WTFPL", "Zlib",
+)
+SENTENCES |= {f"spdx_{n.lower().replace('-', '_').replace('.', '_')}": "spdx license identifier " + n.lower().replace("-", " ").replace(".", " ") for n in SPDX_NAMES}
 # Fixed values: (license, identifiers in order, other known sentences may stand between). The first
 # rule of a license that matches counts; a rule with more identifiers stands before its parts.
 RULES = (
     ("Apache-2.0", ("apache2_line_the", "apache2_use", "apache2_copy"), True),
     ("Apache-2.0", ("apache2_line",), True),
-    ("Apache-2.0", ("spdx_apache2",), True),
     ("MIT", ("mit_grant", "mit_notice"), False),
     ("MIT", ("mit_line",), True),
     ("MIT", ("mit_licensed",), True),
     ("MIT", ("mit_name", "mit_grant"), False),
-    ("MIT", ("spdx_mit",), True),
     ("GPL-3.0-only", ("gpl3_line",), True),
     ("GPL-3.0-only", ("gpl3_program",), True),
-    ("GPL-3.0-only", ("spdx_gpl3",), True),
     ("GPL-3.0-or-later", ("gpl_free", "gpl_warranty"), True),
     ("GPL-2.0-or-later", ("gpl2_free", "gpl_warranty"), True),
     ("BSD-3-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse"), False),
-    ("BSD-3-Clause", ("spdx_bsd3",), True),
     ("BSD-2-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary"), False),
     ("MPL-2.0", ("mpl2_line",), True),
     ("ISC", ("isc_grant",), True),
@@ -87,7 +118,37 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc_by_nc_line",), True),
     ("CC-BY-NC-SA-4.0", ("cc_by_nc_sa_line",), True),
     ("CC-BY-ND-4.0", ("cc_by_nd_line",), True),
+    ("GPL-2.0-only", ("gpl2_only",), True),
+    ("GPL-3.0-only", ("gpl3_only",), True),
+    ("AGPL-3.0-or-later", ("agpl3_free", "gpl_warranty", "agpl_see"), True),
+    ("LGPL-2.1-or-later", ("lgpl21_free", "lgpl_warranty"), True),
+    ("LGPL-3.0-or-later", ("lgpl3_free", "lgpl_warranty"), True),
+    ("LGPL-3.0-or-later", ("lgpl3_program", "gpl_warranty", "lgpl_see"), True),
+    ("MPL-1.1", ("mpl11_line",), True),
+    ("EPL-2.0", ("epl2_line",), True),
+    ("EPL-1.0", ("epl1_line",), True),
+    ("Zlib", ("zlib_as_is", "zlib_grant"), True),
+    ("BSL-1.0", ("bsl_line",), True),
+    ("BSL-1.0", ("bsl_grant",), True),
+    ("Artistic-2.0", ("artistic2_title",), True),
+    ("WTFPL", ("wtfpl_title",), True),
+    ("0BSD", ("zero_bsd_grant",), True),
+    ("MIT-0", ("mit0_grant",), True),
+    ("PostgreSQL", ("postgresql_grant",), True),
+    ("NCSA", ("ncsa_grant",), True),
+    ("OFL-1.1", ("ofl_line",), True),
+    ("CDDL-1.0", ("cddl_line",), True),
+    ("EUPL-1.2", ("eupl_line",), True),
+    ("EUPL-1.2", ("eupl_only",), True),
+    ("Python-2.0", ("psf_line",), True),
+    ("CC-BY-4.0", ("cc_by_work",), True),
+    ("CC-BY-SA-4.0", ("cc_by_sa_work",), True),
+    ("CC-BY-NC-4.0", ("cc_by_nc_work",), True),
+    ("CC-BY-ND-4.0", ("cc_by_nd_work",), True),
+    ("CC-BY-NC-SA-4.0", ("cc_by_nc_sa_work",), True),
+    ("CC-BY-NC-ND-4.0", ("cc_by_nc_nd_work",), True),
     ("Proprietary", ("reserved",), True),
+    *((n, (f"spdx_{n.lower().replace('-', '_').replace('.', '_')}",), True) for n in SPDX_NAMES),
 )
 #: Licenses whose rule gives way when a longer one of the pair also matches.
 NARROWER = {"BSD-2-Clause": "BSD-3-Clause"}
