@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one
-machine) is a local folder chosen and set. Tables are written by Spark's own commit protocol, so
+The folder is the session's ``spark.checkpoint.dir``; only a local session may leave that unset, and
+gets a folder of its own. Tables are written by Spark's own commit protocol, so
 a lost executor costs a task, never the table.
 """
 
@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     """URI of the shared folder, without a trailing slash."""
     at = spark.conf.get(_KEY, None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='stratiform-')}"
         spark.conf.set(_KEY, at)
     return at.rstrip("/") if "://" in at or at.startswith("file:") else f"file://{at.rstrip('/')}"
