@@ -142,8 +142,8 @@ def budget_pack(spark, sf):
     return budget.pack_communities(d, 4000)
 
 
-#: Communities over the budget are packed here; ``budget_refine`` splits them by mixtures.
-TREE = hierarchy.TreeConfig(refined_levels=-1, mixture=mixture.MixtureConfig(min_effective=10.0, restarts=1, rounds=12), token_budget=20_000, most_levels=3)
+#: The defaults of a build, with a budget that makes small tables split as well.
+TREE = hierarchy.TreeConfig(token_budget=20_000)
 
 
 def tree_layers(spark: SparkSession, sf: str) -> list[hierarchy.Layer]:
@@ -177,7 +177,19 @@ def leak_audit(spark, sf):
 
 @query("""SELECT doc_id, regexp_replace(regexp_replace(text, '(^|[^\\p{L}\\p{N}_])all rights reserved($|[^\\p{L}\\p{N}_])', '\\1<train_diagnostic_value>\\2', 'gi'), '(^|[^\\p{L}\\p{N}_])version($|[^\\p{L}\\p{N}_])', '\\1<train_diagnostic_value>\\2', 'gi') AS text FROM documents""")
 def leak_sanitise(spark, sf):
-    return bank.sanitised(table(spark, sf, "documents").select("doc_id", "text"), ["version", "all rights reserved"])
+    terms = spark.createDataFrame([("version",), (" All rights reserved",), ("of",)], "term string")
+    return bank.sanitised(table(spark, sf, "documents").select("doc_id", "text"), terms, "doc_id")
+
+
+@query("""WITH p AS (SELECT conv_id, turn, role || ': item ' || turn || ' of ' || conv_id || '.' AS a FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role || ': <train_diagnostic_value> of ' || conv_id || '.' ELSE a END AS text FROM p""")
+def leak_sanitise_table(spark, sf):
+    """A table of terms, a few thousand of them; each text has few."""
+    c = table(spark, sf, "conversations")
+    text = F.concat("role", F.lit(": item "), F.col("turn").cast("string"), F.lit(" of "), F.col("conv_id").cast("string"), F.lit("."))
+    terms = spark.range(3000).where("id % 3 = 0").select(F.concat(F.lit("ITEM "), F.col("id").cast("string")).alias("term"))
+    rows = c.select("conv_id", "turn", F.struct("conv_id", "turn").cast("string").alias("key"), text.alias("text"))
+    return bank.sanitised(rows, terms, "key").select("conv_id", "turn", "text")
 
 
 @query()

@@ -217,7 +217,7 @@ def test_leaks_are_found_and_taken_out(spark):
     terms = frame(spark, [("blue whale",), ("999",), ("abc",), (None,)], "term string")
     got = {(r.id, r.term_class) for r in bank.audit(texts, terms, "id").collect()}
     assert got == {(1, "text"), (2, "numeric_like")}
-    clean = bank.sanitised(texts, ["blue whale", "999"])
+    clean = bank.sanitised(texts, terms, "id")
     assert bank.audit(clean, terms, "id").count() == 0
     assert {r.id: r.text for r in clean.collect()}[2] == "value <train_diagnostic_value>, then 1999 and 9.99"
 

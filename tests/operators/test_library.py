@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratiform.functions import payload
-from stratiform.operators import cells, documents, protocol, views
+from stratiform.operators import bank, budget, cells, documents, hierarchy, mixture, protocol, refinement, selection, views
 from stratiform.operators import state as S
 from stratiform.sources import readers
 from stratiform.streaming import admission, propagation
@@ -327,3 +327,114 @@ def test_question_records_carry_their_steps(spark):
     assert (step.raw_model_output, step.action, step.tool_name, step.action_valid) == ("hello", "grep(a)", "grep", False)
     assert got["2"].steps == [] and got["2"].verifier_feedback == "answer_mismatch" and not got["2"].success
     assert json.loads(json.dumps(got["1"].verifier_feedback)) == "correct"
+
+
+# ---- fits, trees, packs ------------------------------------------------------------------------
+
+
+def blobs(n, k, seed=0, d=6):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(k, d)) * 4
+    return centres[np.arange(n) % k] + rng.normal(size=(n, d)) * 0.3
+
+
+def vec_rows(spark, x):
+    return frame(spark, [(f"{i:06d}", v.tolist(), 1.0) for i, v in enumerate(x)], "item_id string, vec array<double>, w double")
+
+
+@pytest.mark.parametrize("policy, want", [("projected_gmm_bic", 5), ("projected_kmeans_fixed", 3)])
+def test_policies_of_a_split(spark, policy, want):
+    cfg = hierarchy.TreeConfig(policy=policy, fixed_k=3)
+    assert hierarchy.selected(vec_rows(spark, blobs(300, 5)), 12, cfg, 42).k == want
+
+
+def test_the_elbow_of_two_pairs(spark):
+    rows = vec_rows(spark, np.array([[1, 0], [0.98, 0.02], [-1, 0], [-0.98, -0.02]]))
+    fit = hierarchy.selected(rows, 4, hierarchy.TreeConfig(policy="projected_kmeans_elbow"), 42)
+    got = mixture.nearest(rows, fit, ["a", "b"]).collect()
+    assert fit.k == 2 and {r.w for r in got} == {1.0}
+    assert len({r.community_id for r in got if r.item_id in ("000000", "000001")}) == len({r.community_id for r in got if r.item_id > "000001"}) == 1
+
+
+def test_an_unknown_policy_fails(spark):
+    with pytest.raises(ValueError, match="unknown policy"):
+        hierarchy.selected(vec_rows(spark, blobs(10, 2)), 2, hierarchy.TreeConfig(policy="x"), 1)
+
+
+def test_passes_over_all_rows_go_on_from_the_sample(spark, monkeypatch):
+    """A sample of some rows leads to the mixture that all rows give."""
+    x = blobs(900, 4, 3)
+    rows = vec_rows(spark, x).repartition(5)
+    cfg = mixture.MixtureConfig(restarts=2, rounds=40, tol=1e-9)
+    whole = mixture.fit_mixtures(rows, [1, 2, 3, 4, 5], cfg, 7)
+    monkeypatch.setattr(mixture, "INIT_ROWS", 300)
+    monkeypatch.setattr(mixture, "sample", lambda r, most=300, f=mixture.sample: f(r, most))
+    monkeypatch.setattr(mixture, "LOCAL_WORK", 0)
+    parts = mixture.fit_mixtures(rows, [1, 2, 3, 4, 5], cfg, 7)
+    assert mixture.choose(whole)[0].k == mixture.choose(parts)[0].k == 4
+    a, b = (sorted(map(tuple, np.round(next(f for f in fits if f.k == 4).means, 4))) for fits in (whole, parts))
+    assert np.allclose(a, b, atol=1e-3)
+    assert abs(whole[3].bic - parts[3].bic) < 1e-3 * abs(whole[3].bic)
+
+
+def test_an_elbow_on_the_driver_is_that_of_the_table(spark):
+    rng = random.Random(2)
+    rows = []
+    for g in range(30):
+        n = rng.randint(1, 9)
+        scores = sorted((rng.uniform(0, 10) for _ in range(n)), reverse=True) if g % 5 else [1.0] * n
+        rows += [(g, k + 1, s) for k, s in enumerate(scores)]
+    got = {r.g: r.k for r in selection.choose_elbow(frame(spark, rows, "g int, k int, score double"), "g").collect()}
+    for g, k in got.items():
+        mine = [(k, s) for h, k, s in rows if h == g]
+        assert selection.elbow([k for k, _ in mine], [s for _, s in mine]) == k
+
+
+def test_small_communities_split_as_large_ones(spark, monkeypatch):
+    x = blobs(240, 6, 1)
+    items = frame(spark, [(f"{i:06d}", v.tolist(), 10 + i % 7) for i, v in enumerate(x)], "item_id string, vec array<double>, tokens long")
+    members = items.select("item_id", F.concat(F.lit("C"), (F.col("tokens") % 2).cast("string")).alias("community_id"), F.lit(0.5).alias("w"))
+    cfg, fits = refinement.RefineConfig(700, ks=(2, 4), most_depth=3), mixture.MixtureConfig(restarts=1, rounds=15)
+    keep = lambda t, _: t.cache()
+    run = lambda: sorted((r.item_id, r.community_id, round(r.w, 9)) for r in refinement.refined(members, items, cfg, fits, 3, keep)[0].collect())
+    small = run()
+    monkeypatch.setattr(refinement, "SMALL_ROWS", 0)
+    assert run() == small
+    tokens = {r.item_id: r.tokens for r in items.collect()}
+    cost = {}
+    for i, c, _ in small:
+        cost[c] = cost.get(c, 0) + tokens[i]
+    assert max(cost.values()) <= 700 and len(cost) > 4
+
+
+def test_packs_of_tables_are_those_of_the_loop(spark):
+    rng = random.Random(8)
+    rows = [(f"g{rng.randrange(3)}", f"i{i:04d}", rng.choice([0, 1, 5, 9, 20, 33, 60])) for i in range(500)] + [("h", "x", 61)]
+    got = {(r.community_id, r.item_id): r.pack for r in budget.pack_communities(frame(spark, rows, "community_id string, item_id string, tokens long").repartition(7), 60).collect()}
+    for g in {r[0] for r in rows}:
+        mine = sorted(r for r in rows if r[0] == g)
+        assert [got[g, i] for _, i, _ in mine] == budget.first_fit([t for _, _, t in mine], 60)
+
+
+def test_histograms_pack_as_items_do():
+    rng = random.Random(1)
+    for _ in range(500):
+        most = rng.randint(1, 60)
+        costs = [rng.randint(0, rng.choice([most, most + 5, max(1, most // 3)])) for _ in range(rng.randint(0, 80))]
+        counts = {c: costs.count(c) for c in set(costs)}
+        runs, rank, got = budget.first_fit_runs(counts, most), {}, []
+        for c in costs:
+            k = rank[c] = rank.get(c, -1) + 1
+            first, each, pack = next((r for r in reversed(runs.get(c, [])) if r[0] <= k), (0, 1, -1 - k))
+            got.append(pack + (k - first) // each)
+        assert got == budget.first_fit(costs, most)
+    runs = budget.first_fit_runs({k: 10**9 for k in range(1, 300)}, 2000)
+    assert max(map(len, runs.values())) < 100  # however many items
+
+
+def test_many_terms_are_shuffled(spark, monkeypatch):
+    texts = frame(spark, [(i, f"text of kind {i} and end {i % 3}.") for i in range(60)], "id long, text string")
+    terms = frame(spark, [(f"Kind {k}",) for k in range(0, 60, 7)] + [("\\E quoted (x",)], "term string")
+    few = sorted(map(tuple, bank.audit(texts, terms, "id").collect()))
+    monkeypatch.setattr(bank, "BROADCAST_LEADS", 3)
+    assert sorted(map(tuple, bank.audit(texts, terms, "id").collect())) == few and len(few) == 9
