@@ -90,3 +90,20 @@ def test_rows_of_one_id_are_told_apart_by_text(spark, monkeypatch, words):
     docs = [(None, "before " + item), (None, "clean without an id"), (None, None), (7, item + " after"), (7, "clean with a repeated id"), (8, "clean")]
     kept = decontam.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert sorted(map(tuple, kept.collect()), key=str) == sorted((docs[i] for i in (1, 2, 4, 5)), key=str)
+
+
+def test_recall_of_changed_passages(spark):
+    """Passages of which a fifth of the words are changed are found, nearly all of them."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(5000)}"
+    for length, least in ((20, 0.9), (30, 0.97), (60, 0.99)):
+        items = [(i, [word() for _ in range(length)]) for i in range(300)]
+        docs = []
+        for i, x in items:
+            y = list(x)
+            for k in rng.sample(range(length), length // 5):
+                y[k] = "changed"
+            docs.append((i, " ".join([word() for _ in range(30)] + y + [word() for _ in range(30)])))
+        found = decontam.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string"))
+        hit = {r.doc_id for r in found.where("doc_id = item_id").collect()}
+        assert len(hit) >= least * 300, (length, len(hit))
