@@ -1,5 +1,7 @@
 """SQL of the queries that SQL can express, for DuckDB over the same tables."""
 
+from .decontam import LEAST, MASKS, SHARE
+
 OP2_WARC = """
 WITH p AS (
   SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
@@ -14,4 +16,33 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLES = {"op2_warc": OP2_WARC}
+def _seeds(table: str, ident: str, key: str) -> str:
+    """Windows of the masks: which, where and the words that they keep."""
+    each = []
+    for k, m in enumerate(MASKS):
+        kept = " || ' ' || ".join(f"w[pos + {i + 1}]" for i, c in enumerate(m) if c == "1")
+        each.append(f"SELECT {ident}, pos AS {key}, '{k} ' || {kept} AS seed FROM (SELECT {ident}, w, unnest(range(0, len(w) - {len(m) - 1})) AS pos FROM {table} WHERE len(w) >= {len(m)})")
+    return " UNION ALL ".join(each)
+
+
+_WORDS = "string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
+OP9_DECONTAM = f"""
+WITH d AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents
+), b AS (
+  SELECT item_id, {_WORDS} AS w FROM benchmark
+), ds AS ({_seeds("d", "doc_id", "d_at")}
+), bs AS ({_seeds("b", "item_id", "b_at")}
+), hits AS (
+  SELECT DISTINCT doc_id, item_id, d_at - b_at AS shift FROM ds JOIN bs USING (seed)
+), met AS (
+  SELECT doc_id, item_id, len(b.w) AS n, least({LEAST}, len(b.w)) AS width,
+    list_transform(range(1, len(b.w) + 1), lambda i: CASE WHEN i + shift BETWEEN 1 AND len(d.w) AND d.w[greatest(1, i + shift)] = b.w[i] THEN 1 ELSE 0 END) AS agree
+  FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)
+), seen AS (
+  SELECT doc_id, item_id, width, list_sum(agree) AS n_agree, list_max(list_transform(range(1, n - width + 2), lambda s: list_sum(agree[s:s + width - 1]))) AS best FROM met
+)
+SELECT doc_id, item_id, CAST(max(n_agree) AS INT) AS n_agree, CAST(max(best) AS INT) AS best FROM seen WHERE best >= ceil({SHARE} * width) GROUP BY doc_id, item_id
+"""
+
+ORACLES = {"op2_warc": OP2_WARC, "op9_decontam": OP9_DECONTAM}
