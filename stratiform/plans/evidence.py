@@ -200,13 +200,14 @@ def audit_rollup(spark, sf):
     return out.drop("max_error")
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY sha256('42:' || o_orderkey), o_orderkey LIMIT 100")
 def task_sample(spark, sf):
     """A hundred orders of a seeded shuffle; the sample is the feature."""
     return datasets.sampled(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 42, 100)
 
 
-@query()
+@query("""WITH e AS (SELECT sha256(doc_id || chr(10) || strlen(text) || chr(10) || sha256(text)) AS h FROM documents), c AS (SELECT ('0x' || h[1:2])::INT % 64 AS c, count(*) AS n, sum(('0x' || h[3:17])::HUGEINT) AS a, sum(('0x' || h[18:32])::HUGEINT) AS b FROM e GROUP BY 1)
+SELECT sum(n)::BIGINT AS files, sha256(string_agg(c || ':' || n || ':' || a || ':' || b, ',' ORDER BY c)) AS digest FROM c""")
 def set_digest(spark, sf):
     """One digest of all document texts, whatever their order."""
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha"))

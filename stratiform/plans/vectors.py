@@ -181,7 +181,7 @@ def leak_sanitise(spark, sf):
     return bank.sanitised(table(spark, sf, "documents").select("doc_id", "text"), terms, "doc_id")
 
 
-@query("""WITH p AS (SELECT conv_id, turn, role || ': item ' || turn || ' of ' || conv_id || '.' AS a FROM conversations)
+@query("""WITH p AS (SELECT conv_id, turn, role, role || ': item ' || turn || ' of ' || conv_id || '.' AS a FROM conversations)
 SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role || ': <train_diagnostic_value> of ' || conv_id || '.' ELSE a END AS text FROM p""")
 def leak_sanitise_table(spark, sf):
     """A table of terms, a few thousand of them; each text has few."""
