@@ -185,7 +185,8 @@ def _pattern(ids: tuple[str, ...], gaps: bool) -> str:
 
 
 def scan(docs: DataFrame, text_col: str = "text", out_col: str = "license") -> DataFrame:
-    """``docs`` with a struct: ids (known sentences in order), licenses (sorted), unclear."""
+    """``docs`` with a struct in ``out_col``: ids (known sentences in order), licenses (sorted), unclear; a
+    column of that name gives way."""
     known = F.create_map(*(F.lit(x) for x in chain.from_iterable((v, k) for k, v in SENTENCES.items())))
     text = F.coalesce(F.col(text_col), F.lit(""))
     sentences = F.regexp_extract_all(stream(text), F.lit(_known_pattern()), F.lit(0))

@@ -141,7 +141,8 @@ def _spans_of(text: Column, kind: Kind, rank: int) -> Column:
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """Add ``out_col``: all spans of all kinds, by start and then in the order of ``kinds``.
+    """Add ``out_col``: all spans of all kinds, by start and then in the order of ``kinds``; a column of
+    that name gives way.
 
     Each span has start and end in code points (end exclusive), kind, score and the matched text.
     """
@@ -155,7 +156,7 @@ def _shown(found: Column, kind: Kind) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = BASE_KINDS) -> DataFrame:
-    """Replace what the patterns of ``kinds`` find and their tests confirm by ``<kind>``."""
+    """Replace what the patterns of ``kinds`` find and their tests confirm by ``<kind>``; null stays null."""
     text = F.col(text_col)
     for k in kinds:
         parts, found = F.split(text, k.pattern, -1), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))

@@ -97,7 +97,7 @@ class Bands:
 
 
 def measure(docs: DataFrame, text_col: str = "text", out_col: str = "quality") -> DataFrame:
-    """``docs`` with a struct of all measures and the verdict ``kept``."""
+    """``docs`` with a struct of all measures and the verdict ``kept`` in ``out_col``; a column of that name gives way."""
 
     @F.pandas_udf(MEASURES)
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Bytes of files that a task of a shuffle should get at most.
+TASK_BYTES = 256 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +43,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def tasks(table: DataFrame, times: float = 1.0) -> int:
+    """Tasks for a shuffle of ``times`` the bytes of a table of files: the session's number, or more where
+    those would be too large."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size * times) // TASK_BYTES)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through Spark's file system layer."""
     jvm = spark.sparkContext._jvm

@@ -378,42 +378,42 @@ def _meetings(prints: DataFrame, scheme: Scheme) -> DataFrame:
 
 def _split(met: DataFrame, most: int) -> DataFrame:
     """``met`` with buckets of over ``most`` fingerprints cut into parts by a hash, and every two parts
-    of one made a bucket of their own: no pair is lost, and no task holds more than two parts."""
+    of one made a bucket of their own: no pair is lost, and no task holds more than two parts at once.
+    Rows are dealt out by bucket and sorted by it."""
     met = scratch.materialise(met, "meetings")
     heavy = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most)
     heavy = scratch.materialise(heavy.select("key", F.ceil(F.col("n") / most).cast("int").alias("parts")), "heavy")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: t != own)
     keys = F.when(F.col("parts").isNull(), F.array("key")).otherwise(F.transform(others, lambda t: F.xxhash64("key", F.least(own, t), F.greatest(own, t))))
-    return met.join(heavy, "key", "left").select(F.explode(keys).alias("key"), *(c for c in met.columns if c != "key"))
+    cut = met.join(heavy, "key", "left").select(F.explode(keys).alias("key"), *(c for c in met.columns if c != "key"))
+    return cut.repartition(scratch.tasks(met), "key").sortWithinPartitions("key")
 
 
 def links(prints: DataFrame, scheme: Scheme) -> DataFrame:
     """Links (a, b) between distinct fingerprints; their components are those of all links."""
-    met = _split(_meetings(prints, scheme), BUCKET)
-    tasks = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     run = _bucket_links(scheme.radius, scheme.bits // 64)
-    return met.repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(run, "a binary, b binary")
+    return _split(_meetings(prints, scheme), BUCKET).mapInPandas(run, "a binary, b binary")
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links (a, b) of a wide scheme; their components are those of all links."""
-    tasks = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = lambda df: df.repartition(tasks, "key").sortWithinPartitions("key")
     met = prints.select("fp", "keys").distinct().select(F.explode(F.array_distinct("keys")).alias("key"), "fp", "keys").withColumn("own", F.col("key"))
-    taken = scratch.materialise(dealt(_split(met, BUCKET // 4)).mapInPandas(_bucket_owned(scheme), "key long, fp binary"), "candidates")
+    taken = scratch.materialise(_split(met, BUCKET // 4).mapInPandas(_bucket_owned(scheme), "key long, fp binary"), "candidates")
     first = prints.groupBy("fp").agg(F.min(F.struct("_none", "_id", "_hash")).alias("first"))
     rows = taken.join(first.hint("merge"), "fp").select("key", "fp", "first.*")
     texts = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("text"))
     met = texts.join(rows.hint("merge"), ["_none", "_id", "_hash"]).select("key", "fp", "text")
-    return dealt(met).mapInPandas(_bucket_confirmed(scheme), "a binary, b binary")
+    tasks = scratch.tasks(docs, 2.0)  # a text comes once for each bucket that has a candidate of it
+    return met.repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(_bucket_confirmed(scheme), "a binary, b binary")
 
 
 def smallest_labels(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label): for every node of ``edges`` (a, b) the smallest node of its component.
 
     A round takes the smallest label of a node and its neighbours, then that label's own label;
-    both are joins with partial minima before the shuffle. Rounds end when no label changes.
+    both are joins with partial minima before the shuffle. Rounds end when no label changes; labels that
+    still change after ``most_rounds`` fail, as they would be wrong.
     """
     both = scratch.materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = scratch.materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")

@@ -187,11 +187,11 @@ class _Writer:
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, text_col: str = "text") -> DataFrame:
     """Write the ids of all texts, in ascending id order over files and in each file.
 
-    Returns the manifest (part, path, docs, tokens): files in order of ``part``, of committed tasks.
+    Returns the manifest (part, path, docs, tokens): files in order of ``part``, of committed tasks. All rows
+    of one id are in one file.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartitionByRange(tasks, "_id").sortWithinPartitions("_id")
+    rows = rows.repartitionByRange(scratch.tasks(docs), "_id").sortWithinPartitions("_id")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, enc, end, made = TaskContext.get().partitionId(), encoder(tokenizer_path), np.array([end_id], "<u4"), None
@@ -213,7 +213,7 @@ def read_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start over all files, n_tokens and crc32 of its ids."""
     before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
     todo = manifest.select("path", F.coalesce(before, F.lit(0)).alias("before"))
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), manifest.count())  # a row per file
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -184,7 +184,7 @@ def read_records(raw, with_payload: bool = False) -> Iterator[tuple]:
 
 def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """Read the archives that ``manifest`` names, one sequential reader per file."""
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), manifest.count())  # a row per file
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RECORD.split(", ")]

@@ -210,3 +210,22 @@ def test_token_store_edges(spark, edge_docs, no_docs):
     assert [r.doc_id for r in rows] == [None, 1, 2, 3, 3, 4, 5, 6]
     assert rows[1].n_tokens == 1
     assert token_store.round_trip(spark, no_docs, TOK, 2).count() == 0
+
+
+def test_sequences_of_edge_texts(edge_docs, no_docs):
+    placed = packing.pack(edge_docs, TOK, capacity=64)
+    rows = packing.sequences(placed).collect()
+    assert sum(len(r.pieces) for r in rows) == placed.count() and max(r.fill for r in rows) <= 64
+    assert all([p.offset for p in r.pieces] == sorted(p.offset for p in r.pieces) for r in rows)
+    assert packing.sequences(packing.pack(no_docs, TOK)).count() == 0
+
+
+def test_tasks_follow_the_bytes(spark, monkeypatch):
+    from stratiform.llm import scratch
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert scratch.tasks(docs) == 4
+    monkeypatch.setattr(scratch, "TASK_BYTES", 1000)
+    assert 20 < scratch.tasks(docs) < 10_000 and scratch.tasks(docs, 2.0) > 1.9 * scratch.tasks(docs)
+    got = token_store.round_trip(spark, docs, TOK, 2)
+    assert got.count() == docs.count()

@@ -105,6 +105,11 @@ def test_redaction(spark):
 def test_edges(edge_docs, no_docs):
     assert pii.digest(pii.find_pii(edge_docs)).count() == edge_docs.count()
     assert pii.digest(pii.find_pii(no_docs)).count() == 0
+    clash = edge_docs.withColumn("pii", F.lit("x"))
+    assert pii.digest(pii.find_pii(clash)).count() == edge_docs.count()
+    shown = pii.redact(clash)
+    assert shown.columns == clash.columns and sorted(shown.collect(), key=str) == sorted(clash.collect(), key=str)
+    assert pii.redact(no_docs).count() == 0
 
 
 def test_no_python_in_the_plan(edge_docs):

@@ -61,6 +61,9 @@ def test_edges(edge_docs, no_docs):
     kept = quality.keep_good(edge_docs.unionByName(fine).unionByName(fine))
     assert kept.columns == edge_docs.columns and kept.count() == 2
     assert quality.keep_good(no_docs).count() == 0
+    clash = edge_docs.select("doc_id", "text", F.lit(1).alias("quality"))
+    assert len(quality.digest(quality.measure(clash)).collect()) == 8
+    assert quality.keep_good(clash.unionByName(fine.select("doc_id", "text", F.lit(1).alias("quality")))).first().quality == 1
 
 
 def test_chunks_of_short_texts(spark):
