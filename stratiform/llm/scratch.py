@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 _KEY = "spark.checkpoint.dir"
 #: Bytes of files that a task of a shuffle should get at most.
 TASK_BYTES = 256 << 20
+MOST_TASKS, NO_SIZE = 200_000, 1 << 60
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,10 +45,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def tasks(table: DataFrame, times: float = 1.0) -> int:
-    """Tasks for a shuffle of ``times`` the bytes of a table of files: the session's number, or more where
-    those would be too large."""
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size * times) // TASK_BYTES)
+    """Tasks for a shuffle of ``times`` the bytes of a table of files: the session's number, or more, up to
+    ``MOST_TASKS``, where those would be too large. Spark gives tables that are no files a size beyond any."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = 0 if size > NO_SIZE else min(MOST_TASKS, int(size * times) // TASK_BYTES)
+    return max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)
 
 
 def remove(spark: SparkSession, path: str) -> None:
