@@ -136,7 +136,12 @@ def budget_refine(spark, sf):
     return leaves
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source AS community_id, lpad(doc_id::VARCHAR, 12, '0') AS item_id, ((n_chars + 3) // 4)::BIGINT AS tokens FROM documents),
+i AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY tokens DESC, item_id) AS r FROM d WHERE tokens <= 4000),
+f AS (SELECT *, [4000 - tokens] AS rooms, 0::BIGINT AS pack FROM i WHERE r = 1
+UNION ALL SELECT community_id, item_id, tokens, r, CASE WHEN p IS NULL THEN list_append(rooms, 4000 - tokens) ELSE list_concat(list_concat(rooms[1:p - 1], [rooms[p] - tokens]), rooms[p + 1:]) END, coalesce(p - 1, len(rooms))::BIGINT
+FROM (SELECT i.*, f.rooms, nullif(list_position(list_transform(f.rooms, lambda x: x >= i.tokens), true), 0) AS p FROM f JOIN i ON i.community_id = f.community_id AND i.r = f.r + 1))
+SELECT community_id, item_id, tokens, pack FROM f UNION ALL SELECT community_id, item_id, tokens, -1 FROM d WHERE tokens > 4000""")
 def budget_pack(spark, sf):
     d = table(spark, sf, "documents").select(F.col("source").alias("community_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("item_id"), F.floor((F.col("n_chars") + 3) / 4).cast("long").alias("tokens"))
     return budget.pack_communities(d, 4000)
