@@ -75,7 +75,7 @@ def result_fields(spark, sf):
 
 
 @query("""WITH r AS (SELECT o_orderkey % 300 AS t, 'p' || o_custkey AS path, o_orderkey % 2 AS rank, o_orderkey AS n FROM orders)
-SELECT 't' || t AS trajectory_id, arg_min(path, rank || path || lpad(n::VARCHAR, 9, '0')) AS path FROM r GROUP BY t""")
+SELECT 't' || t AS trajectory_id, min({'r': rank, 'p': path}).p AS path FROM r GROUP BY t""")
 def one_record_per_run(spark, sf):
     """Logs of two formats: the first format's record of a run, then the least path."""
     r = table(spark, sf, "orders").select(F.concat(lit("t"), text(c("o_orderkey") % 300)).alias("trajectory_id"), F.concat(lit("p"), text("o_custkey")).alias("path"), (c("o_orderkey") % 2).alias("k"))
