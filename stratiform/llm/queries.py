@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license, lines, lm, packing, pii, quality, simhash, token_store, warc
+from . import decontam, divergence, license, lines, lm, merkle, packing, pii, quality, simhash, spelling, token_store, warc
 from .sql import ORACLES
 
 
@@ -63,9 +63,21 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(spark, _table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_edits(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_warc, op3_packing, op4_license, op5_simhash, op6_lm, op7_lines, op8_quality, op9_decontam, op10_token_store, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_warc, op3_packing, op4_license, op5_simhash, op6_lm, op7_lines, op8_quality, op9_decontam, op10_token_store, op11_divergence, op12_spelling, op13_merkle, pipeline)}
 ORACLE_SQL: dict[str, str] = dict(ORACLES)
