@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-#: Letters of ASCII and every character beyond it.
-TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: What lies between terms: all of ASCII but its letters. Splitting there gives the matches of its complement, many times
+#: faster than regexp_extract_all, which copies what it matches in.
+GAP = "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: Documents of a language that must have a term; ranks that the terms of a group keep.
 LEAST_DOCUMENTS, TOP_TERMS = 10, 10
 #: Parts into which the terms of a language are dealt.
@@ -50,10 +51,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
     texts = docs.select(
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
-        F.regexp_extract_all(lower_ascii(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)).alias("_terms"),
+        F.split(lower_ascii(F.coalesce("text", F.lit(""))), GAP).alias("_terms"),
     )
     once = texts.withColumn("_once", F.array_distinct("_terms"))
-    each = once.select("lang", "source", F.size("_once").alias("_k"), F.posexplode_outer(F.concat("_once", "_terms")).alias("_at", "term")).where("term IS NOT NULL")
+    each = once.select("lang", "source", F.size("_once").alias("_k"), F.posexplode_outer(F.concat("_once", "_terms")).alias("_at", "term")).where("term <> ''")
     first = F.col("_at") < F.col("_k")
     return each.groupBy("lang", "source", "term").agg(F.sum(F.when(first, 0).otherwise(1)).alias("n"), F.sum(F.when(first, 1).otherwise(0)).alias("d"))
 

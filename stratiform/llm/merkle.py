@@ -35,6 +35,8 @@ from . import scratch
 
 #: Bytes that decide on a cut; one place in so many is a cut; bounds of a piece; one paragraph in so many ends a section.
 WINDOW, EVERY, SHORTEST, LONGEST, SECTION = 8, 48, 16, 256, 8
+#: Paragraphs of fewer bytes are cut at one place in so many, into pieces of so many bytes at least.
+SHORT, SHORT_EVERY, SHORT_SHORTEST = 128, 12, 4
 #: Bytes of a text that are looked at together.
 SLICE_BYTES = 1 << 20
 #: Hexadecimal digits of a piece in a fingerprint.
@@ -51,9 +53,10 @@ class Node(NamedTuple):
     parts: tuple[Node, ...] = ()
 
 
-def _places(data: bytes) -> np.ndarray:
-    """Ends of runs of ``WINDOW`` bytes whose hash says that a piece may end there; never inside a character."""
-    found = []
+def _places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of runs of ``WINDOW`` bytes whose hash says that a piece may end there, never inside a character; and which of
+    them hold in paragraphs of any length."""
+    found, wide = [], []
     for at in range(0, len(data), SLICE_BYTES):
         low = max(0, at - WINDOW + 1)
         b = np.frombuffer(data, np.uint8, min(len(data), at + SLICE_BYTES + 1) - low, low)
@@ -65,10 +68,12 @@ def _places(data: bytes) -> np.ndarray:
             h *= np.uint32(0x01000193)
             h += b[k : k + n]
         h *= np.uint32(0x9E3779B1)
-        ends = np.flatnonzero((h >> np.uint32(12)) % np.uint32(EVERY) == 0) + WINDOW
-        ends = ends[ends < len(b)]
-        found.append(ends[(b[ends] & 0xC0) != 0x80] + low)
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        h >>= np.uint32(12)
+        ends = np.flatnonzero(h[:-1] % np.uint32(SHORT_EVERY) == 0)
+        ends = ends[(b[ends + WINDOW] & 0xC0) != 0x80]
+        found.append(ends + WINDOW + low)
+        wide.append(h[ends] % np.uint32(EVERY) == 0)
+    return (np.concatenate(found), np.concatenate(wide)) if found else (np.zeros(0, np.int64), np.zeros(0, bool))
 
 
 def _character_end(data: bytes, at: int) -> int:
@@ -77,13 +82,13 @@ def _character_end(data: bytes, at: int) -> int:
     return at
 
 
-def _cuts(data: bytes, start: int, end: int, places: list[int]) -> list[int]:
+def _cuts(data: bytes, start: int, end: int, places: list[int], shortest: int) -> list[int]:
     """Ends of the pieces of the paragraph that is ``data[start:end]``, by the hashed ``places`` inside it."""
     cuts = []
     for place in [*places, end]:
         while place - start > LONGEST and (forced := _character_end(data, start + LONGEST)) < end:
             cuts.append(start := forced)
-        if place == end or place - start >= SHORTEST:
+        if place == end or place - start >= shortest:
             cuts.append(start := place)
     return cuts
 
@@ -91,13 +96,14 @@ def _cuts(data: bytes, start: int, end: int, places: list[int]) -> list[int]:
 def tree(text: str | None) -> Node:
     """The Merkle tree of a text: sections, paragraphs, pieces."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    places = _places(data)
+    places, wide = _places(data)
     sections, paragraphs, start = [], [], 0
     while start < len(data):
         end = data.find(b"\n", start) + 1 or len(data)
         first, last = np.searchsorted(places, (start + WINDOW, end))
-        pieces, at = [], start
-        for cut in _cuts(data, start, end, places[first:last].tolist()):
+        pieces, at, short = [], start, end - start < SHORT
+        inside = places[first:last]
+        for cut in _cuts(data, start, end, (inside if short else inside[wide[first:last]]).tolist(), SHORT_SHORTEST if short else SHORTEST):
             pieces.append(Node(xxh3_128_digest(data[at:cut]), at, cut))
             at = cut
         digest = xxh3_128_digest(b"".join(p.digest for p in pieces), 1)

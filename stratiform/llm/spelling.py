@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from . import scratch
 from .divergence import lower_ascii
 
+#: What lies between runs of letters, after A-Z are lower-cased.
+GAP = "[^a-z\\u00C0-\\u00FF]+"
 #: Of how many runs one loses a letter.
 EVERY = 199
 #: Code points of a word and its occurrences, at least; how much commoner a form must be.
@@ -38,13 +40,12 @@ RAREST = 3
 def words(docs: DataFrame, every: int = EVERY, letters: int = LETTERS, occurrences: int = OCCURRENCES) -> DataFrame:
     """word, n: runs of letters, one of ``every`` of which loses a letter by the hash of its id and run.
 
-    Runs of under ``letters`` code points cannot grow, so the pattern leaves them out.
+    Runs of under ``letters`` code points cannot grow, so they go before any is hashed.
     """
-    run = f"[a-z\\u00C0-\\u00FF]{{{letters},}}"
     runs = docs.select(
         F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":")).alias("_lead"),
-        F.explode_outer(F.regexp_extract_all(lower_ascii(F.coalesce("text", F.lit(""))), F.lit(run), F.lit(0))).alias("_run"),
-    ).where("_run IS NOT NULL")
+        F.explode_outer(F.split(lower_ascii(F.coalesce("text", F.lit(""))), GAP)).alias("_run"),
+    ).where(F.length("_run") >= letters)
     hashed = runs.select("_run", F.crc32(F.concat("_lead", "_run")).alias("_h"))
     at = (F.col("_h") % F.length("_run")).cast("int")
     shorter = F.concat(F.substring("_run", F.lit(1), at), F.substring(F.col("_run"), at + 2, F.length("_run")))
