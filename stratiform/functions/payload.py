@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-from collections.abc import Iterator
+import re
 
 import numpy as np
 import pandas as pd
@@ -38,67 +38,64 @@ def without_think_blocks(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
 
 
+_FENCE = re.compile(r"(?ms)^[^\S\n]*```[^\n]*\n(.*?)^[^\S\n]*```")
+_MARK = re.compile(r'(\\*)([{}"])')
+
+
 def _as_object(text: str) -> str | None:
     try:
         return text if isinstance(json.loads(text), dict) else None
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
-def _fenced(text: str) -> Iterator[str]:
-    """Bodies of closed code fences."""
-    held: list[str] | None = None
-    for line in text.splitlines():
-        if line.strip().startswith("```"):
-            if held is not None and (body := "\n".join(held).strip()):
-                yield body
-            held = [] if held is None else None
-        elif held is not None:
-            held.append(line)
-
-
-def _balanced(text: str) -> Iterator[str]:
-    """From each opening brace, in order, to the brace that closes it; braces in strings do not count."""
-    at = text.find("{")
-    while at >= 0:
-        depth, quoted, i = 0, False, at
-        while i < len(text):
-            c = text[i]
-            if quoted and c == "\\":
-                i += 1
-            elif c == '"':
-                quoted = not quoted
-            elif not quoted and c in "{}":
-                depth += 1 if c == "{" else -1
-                if not depth:
-                    yield text[at : i + 1]
-                    break
-            i += 1
-        at = text.find("{", at + 1)
+def _first_balanced(text: str) -> str | None:
+    """The span from the first brace that is ever closed to the brace that closes it, each brace being read as if the text began
+    there: quotes before it do not count, braces in strings after it do not either.
+
+    One pass for all of them. Two readings that are both outside a string, or both inside, go on alike, so
+    those of a kind share a stack, which has the first of the braces that close next on top.
+    Where an escaped quote brings both kinds together, their stacks are merged from the top.
+    """
+    outside: list[int] = []
+    inside: list[int] = []
+    first = None
+    for mark in _MARK.finditer(text):
+        escaped, at = len(mark[1]) % 2 == 1, mark.start(2)
+        if mark[2] == "{":
+            outside.append(at)
+        elif mark[2] == "}":
+            if outside and (first is None or outside[-1] < first[0]):
+                first = outside[-1], at + 1
+            del outside[-1:]
+        elif not escaped:
+            outside, inside = inside, outside
+        else:
+            short, long = sorted((outside, inside), key=len)
+            for i in range(1, len(short) + 1):
+                long[-i] = min(long[-i], short[-i])
+            outside, inside = [], long
+    return first and text[slice(*first)]
 
 
 def recovered(reply: str) -> str | None:
     """The first JSON object of a reply: the whole, a fenced block, then any balanced braces.
 
-    The first balanced candidate that is no JSON ends the search without a result.
+    The first balanced braces that are no JSON end the search without a result.
     """
     reply = reply.strip()
-    some = [reply, *_fenced(reply)]
-    for x in some:
-        if found := _as_object(x):
-            return found
-    for x in some:
-        for part in _balanced(x):
-            return _as_object(part)
-    return None
+    some = [reply, *filter(None, map(str.strip, _FENCE.findall(reply)))]
+    if found := next(filter(None, map(_as_object, some)), None):
+        return found
+    part = next(filter(None, map(_first_balanced, some)), None)
+    return part and _as_object(part)
 
 
 def strict(reply: str) -> str | None:
     """A reply that is one JSON object, bare or wholly fenced."""
     reply = reply.strip()
-    lines = reply.split("\n")
-    fenced = len(lines) > 2 and reply.startswith("```") and reply.endswith("```")
-    return _as_object(reply) or (_as_object("\n".join(lines[1:]).removesuffix("```").strip()) if fenced else None)
+    fenced = re.fullmatch(r"(?s)```[^\n]*\n(.*)```", reply)
+    return _as_object(reply) or (fenced and _as_object(fenced[1].strip()))
 
 
 @F.pandas_udf(StringType())
@@ -242,8 +239,8 @@ def hashed_vector(text: Column, dims: int = 384) -> Column:
         out = []
         for t in texts:
             v = np.zeros(dims)
-            for word in "".join(c.lower() if c.isalnum() else " " for c in t or "").split():
-                d = hashlib.blake2b(word.encode(), digest_size=8).digest()
+            for word in re.findall(r"[^\W_]+", t or ""):
+                d = hashlib.blake2b("".join(map(str.lower, word)).encode(), digest_size=8).digest()
                 v[int.from_bytes(d[:4], "little") % dims] += 1 - 2 * (d[4] & 1)
             n = np.linalg.norm(v)
             out.append(v / n if n > 1e-12 else np.eye(1, dims)[0])

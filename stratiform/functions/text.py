@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,9 +17,42 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"\A\s+|\s+\z", "")
 
 
+@functools.cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters that folding changes, by what they become: two strings of equal length, and those that become several."""
+    changed = {c: f for c in map(chr, range(sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff" and (f := c.casefold()) != c}
+    single = {c: f for c, f in changed.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in changed.items() if len(f) > 1}
+
+
+def case_folded(text: Column) -> Column:
+    """Full case folding of Unicode: ß is ss, ﬁ is fi, a final sigma is any sigma. ASCII takes the short way."""
+    old, new, several = _folds()
+    folded = F.translate(text, old, new)
+    long = folded
+    for c, f in several.items():
+        long = F.replace(long, F.lit(c), F.lit(f))
+    has = text.rlike("[" + "".join(several) + "]")
+    return F.when(~text.rlike("[^\\x00-\\x7F]"), F.lower(text)).when(has, long).otherwise(folded)
+
+
+@functools.cache
+def _simple_folds() -> tuple[str, str]:
+    one = lambda c, *ways: next((x for w in ways if len(x := w(c)) == 1), c)
+    # Fixed value: the dotted capital I, whose simple lower case no method of str gives.
+    fold = lambda c: "i" if c == "\u0130" else one(one(c, str.upper, str.title), str.lower)
+    changed = {c: f for c in map(chr, range(sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff" and (f := fold(c)) != c}
+    return "".join(changed), "".join(changed.values())
+
+
+def simple_folded(text: Column) -> Column:
+    """Case folding that keeps each character one: what (?iu) of regular expressions takes as equal is equal under it."""
+    return F.when(~text.rlike("[^\\x00-\\x7F]"), F.lower(text)).otherwise(F.translate(text, *_simple_folds()))
+
+
 def text_key(text: Column) -> Column:
     """Key under which two texts count as the same: white space collapsed, case folded."""
-    return F.replace(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), F.lit("ß"), F.lit("ss"))
+    return case_folded(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
 def word_tokens(text: Column) -> Column:
@@ -108,7 +144,7 @@ def numeric_like(term: Column) -> Column:
 
 def forbidden_term(term: Column) -> Column:
     """The term as it is looked for, or null: at least four characters unless numeric, and not only marks."""
-    t = F.lower(F.trim(term))
+    t = simple_folded(F.trim(term))
     return F.when(((F.length(t) >= 4) | numeric_like(t)) & t.rlike(r"[\p{L}\p{N}]"), t)
 
 

@@ -143,10 +143,14 @@ def resume_latest(spark, sf):
     return records.latest(table(spark, sf, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id").select("user_id", "event_id", "event_type", "value")
 
 
-@query("SELECT sha256(text) AS key, text FROM (SELECT DISTINCT text FROM documents) WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+@query("""WITH w AS (SELECT DISTINCT n AS namespace, sha256(text) AS key, text FROM documents, (VALUES ('m1'), ('m2')) AS v(n)), h AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'm2' ELSE 'm1' END AS namespace, sha256(text) AS key FROM documents WHERE doc_id % 2 = 0)
+SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.namespace = w.namespace AND h.key = w.key)""")
 def cache_misses(spark, sf):
+    """Texts asked for under two models, of which each has some."""
     d = table(spark, sf, "documents")
-    return records.cache_misses(d, d.where("doc_id % 2 = 0").select(F.sha2("text", 256).alias("key")))
+    wanted = d.select(F.explode(F.array(F.lit("m1"), F.lit("m2"))).alias("namespace"), "text")
+    have = d.where("doc_id % 2 = 0").select(F.when(F.col("doc_id") % 4 == 0, "m2").otherwise("m1").alias("namespace"), F.sha2("text", 256).alias("key"))
+    return records.cache_misses(wanted, have)
 
 
 @query(r"""WITH p AS (SELECT 'docs/' || (page_id % 5) || '/f' || (page_id % 120) || '.json' AS path FROM pages GROUP BY 1), n AS (SELECT regexp_extract(path, '([^/]+)$', 1) AS f, count(*) AS n, min(path) AS one FROM p GROUP BY 1),
