@@ -19,7 +19,7 @@ Only hashes are grouped, with partial minima and maxima, so a line in a third of
 costs one row per task. Both joins are merged at every size: what they would broadcast grows with
 the input. Defined cases: null stays null and empty stays empty; blank lines are never dropped; rows
 with one id are one document (``short_texts`` counts them apart), and rows without an id
-are told apart by text; any other columns are carried along; an empty table gives an empty result.
+are told apart by text and come after all ids (which must be under 2^62); any other columns are carried along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ SEGMENTS = 4
 SHORT, SHORT_TEXTS = 8, 10
 #: Fewer tokens never recur alone.
 SHORTEST = 3
+#: Ranks of rows without an id begin here.
+LATE = 1 << 62
 _VARIABLE = re.compile(rb"\S*[0-9]\S*")
 
 
@@ -92,14 +94,15 @@ def units(text: str | None, short: int = SHORT) -> tuple[list[bytes], list[int],
 
 
 def _ident(id_col: str, text_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
+    """The id; without one, by the text, a number after all ids (of under 2^62)."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col).bitwiseAND(F.lit(LATE - 1)).bitwiseOR(F.lit(LATE)))
 
 
 def _signed(hashes: list[int]) -> np.ndarray:
     return np.array(hashes, np.uint64).view(np.int64)
 
 
-def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT) -> DataFrame:
+def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, shortest: int = SHORTEST) -> DataFrame:
     """A row per distinct unit of a text: ident, unit (hash), keys; of a short line alone (weak key) and
     whether this is its first in the text (0 or 1)."""
 
@@ -120,18 +123,18 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         first.append(-1)
                         continue
                     keys.append(_signed([h]))
-                    key = templates(x, short)[0] if n >= SHORTEST else 0
+                    key = templates(x, short)[0] if n >= shortest else 0
                     alone.append(key)
-                    first.append(-1 if n < SHORTEST else int(key not in weak))
+                    first.append(-1 if n < shortest else int(key not in weak))
                     weak.add(key)
             yield pd.DataFrame({"ident": np.array(ident, np.int64), "unit": _signed(unit), "keys": pd.Series(keys, dtype=object), "alone": _signed(alone), "first": np.array(first, np.int8)})
 
     return docs.select(_ident(id_col, text_col).alias("_ident"), F.col(text_col).alias("_text")).mapInPandas(run, "ident long, unit long, keys array<long>, alone long, first byte")
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, short_texts: int = SHORT_TEXTS) -> DataFrame:
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, short_texts: int = SHORT_TEXTS, shortest: int = SHORTEST) -> DataFrame:
     """Per document with lines to drop: ident and the hashes ``drop`` of their units."""
-    lines = scratch.materialise(line_templates(docs, id_col, text_col, short), "lines")
+    lines = scratch.materialise(line_templates(docs, id_col, text_col, short, shortest), "lines")
     strong = F.transform("keys", lambda k: F.struct(k.alias("key"), F.lit(None).cast("byte").alias("weak")))
     weak = F.when(F.col("first") >= 0, F.array(F.struct(F.col("alone").alias("key"), F.col("first").alias("weak")))).otherwise(F.array().cast("array<struct<key:long,weak:byte>>"))
     keyed = lines.select("ident", "unit", F.inline(F.concat(strong, weak)))
@@ -143,10 +146,10 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return drop
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, short: int = SHORT, short_texts: int = SHORT_TEXTS) -> DataFrame:
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, short: int = SHORT, short_texts: int = SHORT_TEXTS, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` with recurring lines taken out of the texts; ``count_col``: also say how many."""
     names = docs.columns
-    drop = recurring_lines(docs, id_col, text_col, short, short_texts)
+    drop = recurring_lines(docs, id_col, text_col, short, short_texts, shortest)
 
     @F.pandas_udf("text string, dropped long")
     def without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:

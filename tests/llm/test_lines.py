@@ -142,3 +142,18 @@ def test_rows_of_numbers_are_not_one_template(spark):
     got = {r.doc_id: r.text for r in lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = dict(rows) | {21: rows[-1][1].replace(same, "")}
     assert got == want
+
+
+def test_rows_without_an_id_give_way(spark):
+    shared = "these eight words are a line that texts share"
+    for k in range(12):  # whatever the sign of the text's hash
+        docs = spark.createDataFrame([(None, f"{shared}\nown {k} of the row without an id here"), (7, f"{shared}\nof document seven alone, number {k}")], "doc_id long, text string")
+        got = {r.doc_id: r.text for r in lines.drop_recurring(docs).collect()}
+        assert got == {7: f"{shared}\nof document seven alone, number {k}", None: f"own {k} of the row without an id here"}
+
+
+def test_shortest_is_a_parameter(spark):
+    docs = spark.createDataFrame([(i, f"Thank you\n{' '.join(f'w{i}x{j}' for j in range(9))} unlike any other line there is of that") for i in range(12)], "doc_id long, text string")
+    held = lambda **kw: sum("Thank you" in r.text for r in lines.drop_recurring(docs, **kw).collect())
+    assert held() == 12
+    assert held(shortest=2) == 1
