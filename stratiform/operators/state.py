@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import scratch
-from . import mass
+from . import mass, membership
 
 ITEM = "item_id string, level int, kind string, text string, vec array<double>, support_mass double, confidence double, source_community_id string, version int"
 COMMUNITY = "community_id string, level int, support_mass double, metadata map<string,string>"
@@ -162,6 +162,36 @@ def card_faults(communities: DataFrame, cards: DataFrame, who: str = "build") ->
     return wrong.unionByName(none.select(F.lit("no_card").alias("fault"), "community_id", F.lit(None).cast(cards.schema["item_id"].dataType).alias("item_id")))
 
 
+def hierarchy_faults(state: State, no_stale: bool = True, tolerance: float = 1e-6) -> DataFrame:
+    """(kind, level, id) of all that breaks the rules of a hierarchy: ``membership.violations``, but for communities that are
+    excused from giving a card; besides masses that are not those of members or cards, and links between layers.
+
+    ``no_stale``: a stale layer is a fault too.
+    """
+    chosen = state.members.where("w IS NOT NULL").select("item_id", "community_id", "w")
+    excused = state.communities.where(skips_synthesis(F.col("metadata"), "commit")).select(F.lit("no_card").alias("kind"), F.col("community_id").alias("id"))
+    found = membership.violations(state.items, state.communities, chosen, state.members.where("posterior IS NOT NULL").select("item_id", "community_id"))
+    row = lambda df, kind, ident: df.select(F.lit(kind).alias("kind"), F.col("level").cast("int").alias("level"), F.col(ident).cast("string").alias("id"))
+    off = lambda a, b: F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))) > tolerance * F.greatest(F.lit(1.0), F.abs(F.coalesce(a, F.lit(0.0))))
+    summed = mass.support_mass(state.items, chosen).withColumnRenamed("support_mass", "_sum")
+    of_cards = state.items.where(F.col("kind") == CARD).groupBy(F.col("source_community_id").alias("community_id")).agg(F.sum("support_mass").alias("_cards"))
+    have = state.layers.select("level", F.lit(True).alias("_layer"))
+    levels = state.communities.select("level").distinct()
+    parts = [
+        found.join(excused, ["kind", "id"], "left_anti").select("kind", "level", "id"),
+        row(state.communities.join(summed, "community_id", "left").where(off(F.col("support_mass"), F.col("_sum"))), "mass_of_community", "community_id"),
+        row(state.communities.join(of_cards, "community_id").where(off(F.col("support_mass"), F.col("_cards"))), "mass_of_cards", "community_id"),
+        row(levels.join(have, "level", "left_anti"), "no_layer", "level"),
+        row(levels.where("level > 0").join(levels.select((F.col("level") + 1).alias("level")), "level", "left_anti"), "gap_below", "level"),
+    ]
+    if no_stale:
+        parts.append(row(state.layers.where("stale"), "stale_layer", "stale_reason"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _refuse(faults: DataFrame, what: str) -> None:
     if some := faults.limit(10).collect():
         raise ValueError(f"{what}: {sorted(tuple(map(str, r)) for r in some)}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, evidence, files, logs, members, runs, state, texts, vectors  # noqa: F401  they register their queries
+from . import documents, evidence, files, growth, logs, members, runs, state, texts, vectors  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

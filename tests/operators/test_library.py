@@ -432,9 +432,9 @@ def test_histograms_pack_as_items_do():
     assert max(map(len, runs.values())) < 100  # however many items
 
 
-def test_many_terms_are_shuffled(spark, monkeypatch):
+def test_a_full_filter_lets_all_through(spark, monkeypatch):
     texts = frame(spark, [(i, f"text of kind {i} and end {i % 3}.") for i in range(60)], "id long, text string")
     terms = frame(spark, [(f"Kind {k}",) for k in range(0, 60, 7)] + [("\\E quoted (x",)], "term string")
     few = sorted(map(tuple, bank.audit(texts, terms, "id").collect()))
-    monkeypatch.setattr(bank, "BROADCAST_LEADS", 3)
+    monkeypatch.setattr(bank, "FILTER_WORDS", 1)
     assert sorted(map(tuple, bank.audit(texts, terms, "id").collect())) == few and len(few) == 9
