@@ -54,7 +54,7 @@ def hashed_entries(rows: DataFrame, key: str, text: str, dims: int = 384) -> Dat
     The first four bytes of a token's SHA-256 choose the dimension, the parity of the fifth the sign.
     Texts without tokens, or whose tokens cancel out, have no entry.
     """
-    toks = rows.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(BANK_TOKEN), F.lit(0))).alias("_t"))
+    toks = rows.select(key, F.explode(F.split(F.lower(text), f"[^{BANK_TOKEN[1:-2]}]+")).alias("_t")).where("_t <> ''")  # far faster than to extract matches
     counted = toks.groupBy(key, "_t").agg(F.count("*").alias("_n")).withColumn("_h", F.sha2(F.col("_t"), 256))
     number = lambda a, n: F.conv(F.substring("_h", a, n), 16, 10).cast("long")
     signed = counted.select(key, (number(1, 8) % dims).cast("int").alias("dim"), (F.col("_n") * F.when(number(9, 2) % 2 == 0, 1).otherwise(-1)).alias("v"))
