@@ -164,12 +164,16 @@ def card_faults(communities: DataFrame, cards: DataFrame, who: str = "build") ->
 
 def hierarchy_faults(state: State, no_stale: bool = True, tolerance: float = 1e-6) -> DataFrame:
     """(kind, level, id) of all that breaks the rules of a hierarchy: ``membership.violations``, but for communities that are
-    excused from giving a card; besides masses that are not those of members or cards, and links between layers.
+    excused from giving a card, or that lost all members to others and so weigh nothing, as do their cards; besides masses that
+    are not those of members or cards, and links between layers.
 
     ``no_stale``: a stale layer is a fault too.
     """
     chosen = state.members.where("w IS NOT NULL").select("item_id", "community_id", "w")
     excused = state.communities.where(skips_synthesis(F.col("metadata"), "commit")).select(F.lit("no_card").alias("kind"), F.col("community_id").alias("id"))
+    left = state.communities.where("support_mass = 0")
+    weightless = state.items.join(left.select(F.col("community_id").alias("source_community_id")), "source_community_id", "left_semi").select(F.lit("support_mass").alias("kind"), F.col("item_id").alias("id"))
+    excused = excused.unionByName(left.select(F.lit("empty_community").alias("kind"), F.col("community_id").alias("id"))).unionByName(weightless)
     found = membership.violations(state.items, state.communities, chosen, state.members.where("posterior IS NOT NULL").select("item_id", "community_id"))
     row = lambda df, kind, ident: df.select(F.lit(kind).alias("kind"), F.col("level").cast("int").alias("level"), F.col(ident).cast("string").alias("id"))
     off = lambda a, b: F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))) > tolerance * F.greatest(F.lit(1.0), F.abs(F.coalesce(a, F.lit(0.0))))
