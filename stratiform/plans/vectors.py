@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import bank, budget, hierarchy, mixture, refinement
+from ..operators import bank, budget, hierarchy, index, mixture, refinement
 from ..sources.scratch import kept, new_path
 from ..streaming import admission
 from .members import rounded
@@ -33,16 +33,57 @@ def bank_topk_docs(spark, sf):
     return rounded(bank.sparse_top_k(q, b, 10), "score")
 
 
-@query(f"""WITH {E_SQL}, n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda y: y * y))) AS l FROM x),
+NEAREST_SQL = f"""WITH {E_SQL}, n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda y: y * y))) AS l FROM x),
 s AS (SELECT q.vec_id AS query_id, b.vec_id AS node_id, list_dot_product(q.e, b.e) / q.l / b.l AS score FROM n q JOIN n b ON q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id) AS rank FROM s)
-SELECT query_id, node_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10""")
+SELECT query_id, node_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10"""
+
+
+@query(NEAREST_SQL)
 def embedding_topk(spark, sf):
     """The ten nearest of all vectors, for every vector whose id is divisible by 50."""
     v = vectors(spark, sf)
     return rounded(bank.dense_top_k(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("node_id"), "vec"), 10), "score")
 
 
+def _asked_and_bank(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Queries, every vector whose id is divisible by 50, and all vectors."""
+    v = vectors(spark, sf)
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("node_id"), "vec")
+
+
+@query(NEAREST_SQL)
+def index_topk(spark, sf):
+    """The same from a stored index: a few cells a query, then those that could hold better ones."""
+    asked, nodes = _asked_and_bank(spark, sf)
+    stored, _ = index.ensured(nodes, new_path(spark, "index"), "embeddings", "cosine")
+    return rounded(index.searched(stored, asked, 10, probes=4, exact=True), "score")
+
+
+@query()
+def index_recall(spark, sf):
+    """query_id, n_found of n_exact: how many of the ten nearest a search of as many cells finds as other vectors need."""
+    asked, nodes = _asked_and_bank(spark, sf)
+    stored, _ = index.ensured(nodes, new_path(spark, "index"), "embeddings", "cosine")
+    probes = index.calibrated(stored, nodes.where("node_id % 50 <> 0"), 10)
+    found = index.searched(stored, asked, 10, probes).select("query_id", "node_id", F.lit(1).alias("hit"))
+    exact = bank.dense_top_k(asked, nodes, 10).select("query_id", "node_id")
+    return exact.join(found, ["query_id", "node_id"], "left").groupBy("query_id").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("n_found"), F.count("*").alias("n_exact"))
+
+
+@query("""WITH m AS (SELECT count(*) AS n FROM embeddings), l AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 7 <> 0)
+SELECT 'first' AS bank, n AS stored, true AS built FROM m UNION ALL SELECT 'same', n, false FROM m UNION ALL SELECT 'other_model', n, true FROM m UNION ALL SELECT 'fewer', n, true FROM l UNION ALL SELECT 'first_again', n, false FROM m""")
+def index_reuse(spark, sf):
+    """An index is read where model and vectors are as they were, whatever the order of rows, else built."""
+    _, nodes = _asked_and_bank(spark, sf)
+    at, rows = new_path(spark, "index"), None
+    for name, bank_now, model in (("first", nodes, "a"), ("same", nodes.orderBy(F.desc("node_id")), "a"), ("other_model", nodes, "b"), ("fewer", nodes.where("node_id % 7 <> 0"), "a"), ("first_again", nodes, "a")):
+        stored, built = index.ensured(bank_now, at, model, "cosine")
+        one = stored.manifest.select(F.lit(name).alias("bank"), "stored", F.lit(built).alias("built"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 @query("SELECT doc_id AS node_id, n_chars::DOUBLE AS support_mass, (doc_id % 4)::INT AS level FROM documents ORDER BY n_chars DESC, doc_id % 4 DESC, doc_id LIMIT 100")
 def bank_order(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), F.col("n_chars").cast("double").alias("support_mass"), (F.col("doc_id") % 4).cast("int").alias("level"))
