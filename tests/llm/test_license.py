@@ -39,7 +39,7 @@ def test_rules(spark, text, names):
 def test_known_sentences_are_normalised(spark):
     rows = spark.createDataFrame([(v,) for v in license.SENTENCES.values()], "s string")
     assert all(r.s == r.n for r in rows.select("s", license.normalised(rows.s).alias("n")).collect())
-    ids = set(license.SENTENCES)
+    ids = {*license.SENTENCES, *license.GAPPED, *license.SPDX_WORDS.values()}
     assert all(set(r[1]) <= ids for r in license.RULES)
 
 
@@ -98,10 +98,28 @@ STANDARD = [
     ('Licensed under the EUPL, Version 1.2 only (the "Licence");', "EUPL-1.2"),
     ('1. This LICENSE AGREEMENT is between the Python Software Foundation ("PSF"), and the Individual or Organization ("Licensee") accessing and otherwise using this software ("Python") in source or binary form and its associated documentation.', "Python-2.0"),
     *((f"This work is licensed under a Creative Commons Attribution{k} 4.0 International License.", f"CC-BY{v}-4.0") for k, v in [("", ""), ("-ShareAlike", "-SA"), ("-NonCommercial", "-NC"), ("-NoDerivatives", "-ND"), ("-NonCommercial-ShareAlike", "-NC-SA"), ("-NonCommercial-NoDerivatives", "-NC-ND")]),
-    ("SPDX-License-Identifier: MIT OR Zlib", ""),
+    ("SPDX-License-Identifier: LicenseRef-Own", ""),
+    ("Copyright (c) 2019, A. Person. All rights reserved.\n\n" + BSD2.replace("\n", "\n\n"), "BSD-2-Clause"),
+    ("Copyright (c) 2019, A. Person. All rights reserved.\n\n" + BSD3.replace("\n", "\n\n").replace("the copyright holder", "Example Inc."), "BSD-3-Clause"),
+    (BSD3.replace("\n", "\n\n").replace("the copyright holder", "the University of Somewhere, its departments and its many friends"), "BSD-3-Clause"),
+    (BSD2.replace("\n", "\n\n") + "3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.", "BSD-3-Clause"),
+    ("Copyright (c) 2008 A. Person\n\nPermission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+    ("This file is part of Frob Tools.\n\n" + GPL.replace("This program", "Frob Tools").format(":", 3), "GPL-3.0-or-later"),
+    (GPL.replace("This program", "Frob").format(";", 2), "GPL-2.0-or-later"),
+    (GPL.replace("This program", "Frob").replace("GNU General", "GNU Lesser General").format(";", "2.1"), "LGPL-2.1-or-later"),
 ]
 
 
+def test_identifier_lines(spark):
+    """Names in order, what is no name is told, a line of none is unclear; nothing beyond the line is read."""
+    lines = [("MIT OR Zlib", "MIT;Zlib"), ("Apache-2.0 OR MIT", "Apache-2.0;MIT"), ("(MIT AND BSD-3-Clause)", "BSD-3-Clause;MIT"), ("GPL-2.0", "GPL-2.0-only"), ("GPL-2.0+", "GPL-2.0-or-later"), ("(LGPL-2.1+ OR GPL-2.0-or-later)", "GPL-2.0-or-later;LGPL-2.1-or-later")]
+    told = license.digest(license.scan(spark.createDataFrame([(i, f"{m}SPDX-License-Identifier: {x[0]}{e}\nimport x") for i, x in enumerate(lines) for m, e in (("", ""), ("// ", "\r"), ("/* ", " */"))], "doc_id long, text string"))).collect()
+    assert [(r.licenses, lines[r.doc_id]) for r in told if r.licenses != lines[r.doc_id][1]] == []
+    cases = [("SPDX-License-Identifier: MIT OR Own-1.0\nZlib", "spdx_mit;spdx_other", "MIT", False), ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "spdx_gpl_2_0_only;spdx_other", "GPL-2.0-only", False), ("x SPDX-License-Identifier: MIT", "", "", False), ("SPDX-License-Identifier: Own", "spdx_other", "", True), ("SPDX-License-Identifier:\n\nMIT", "", "", False)]
+    rows = license.digest(license.scan(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string"))).orderBy("doc_id").collect()
+    assert [(r.sentence_ids, r.licenses, r.unclear) for r in rows] == [c[1:] for c in cases]
+
+
 def test_standard_texts_however_wrapped(spark):
     """Each rule's standard text, wrapped at several widths, bare and behind comment marks, between code."""
     rows, want = [], {}
@@ -115,10 +133,55 @@ def test_standard_texts_however_wrapped(spark):
     assert [(want[i], n) for i, n in sorted(got.items()) if n != want[i][0]] == []
 
 
+def walk(runs, at, words):
+    """Where ``words`` end if they follow the bound or word at ``at``, a bound allowed between two; else None."""
+    j = at + 1
+    for n, w in enumerate(words):
+        if n and j < len(runs) and runs[j] == "|":
+            j += 1
+        if j >= len(runs) or runs[j] != w:
+            return None
+        j += 1
+    return j
+
+
+def names_of(words):
+    out, at, other = [], 0, False
+    names = [(k.lower().replace("-", " ").replace(".", " ").split(), k) for k in license.SPDX_NAMES] + [(k.lower().replace("-", " ").replace(".", " ").split(), k + "-only") for k in license.SPDX_OLD]
+    while at < len(words):
+        hit = max((n for n in names if words[at : at + len(n[0])] == n[0]), key=lambda n: len(n[0]), default=None)
+        if hit:
+            out.append("spdx_" + hit[1].lower().replace("-", "_").replace(".", "_"))
+            at += len(hit[0])
+        else:
+            other |= words[at] not in ("and", "or")
+            at += 1
+    return out + ["spdx_other"] * other
+
+
+def gapped(runs, at):
+    """The known sentence with a gap that starts at the bound ``at``, and its end."""
+    for name, sentence in license.GAPPED.items():
+        head, tail = (x.split() for x in sentence.split("*"))
+        start = walk(runs, at, head) if head else at + 1
+        gap, j = 0, start
+        while j is not None and j < len(runs) and gap < (12 if head else 8):
+            if runs[j] == "|" and head and runs[j - 1][0] != "|":
+                j += 1
+            if j >= len(runs) or runs[j][0] == "|":
+                break
+            gap, j = gap + 1, j + 1
+            for to in (j, j + 1) if head and j < len(runs) and runs[j] == "|" else (j,):
+                end = walk(runs, to - 1, tail)
+                if end and end < len(runs) and runs[end][0] == "|":
+                    return name, end
+    return None
+
+
 def brute(text):
     """Identifiers, licenses and whether unclear, by walking over words and bounds; written apart from the operator."""
     tokens = []  # words; "|" where a sentence or line ends, "||" at an empty line
-    lines = re.split("\r\n|\r|\n", (text or "").lower())
+    lines = re.split("\r\n|\r|\n", re.sub(r"(gpl-[0-9][0-9.]*)\+", r"\1-or-later", (text or "").lower()))
     for i, line in enumerate(lines):
         for m in re.finditer(r"[^\W_]+|[.:;]+(?=[\"')\]]*(?:\s|$))", line):
             tokens.append("|" if m[0][0] in ".:;" else m[0])
@@ -136,6 +199,12 @@ def brute(text):
     ids, at = [], 0
     while at < len(runs):
         found = None
+        line = ["spdx", "license", "identifier"]
+        if runs[at][0] == "|" and (j := walk(runs, at, line)) and (j := j + (j < len(runs) and runs[j] == "|")) < len(runs) and runs[j][0] != "|":
+            end = next(n for n in range(j, len(runs)) if runs[n][0] == "|")
+            ids += names_of(runs[j:end])
+            at = end
+            continue
         if runs[at][0] == "|":
             for words, name in known:
                 j = at + 1
@@ -149,6 +218,7 @@ def brute(text):
                     if j < len(runs) and runs[j][0] == "|":
                         found = (name, j)
                         break
+            found = found or gapped(runs, at)
         if found:
             ids.append(found[0])
             at = found[1]
@@ -165,6 +235,8 @@ def brute(text):
             names.add(name)
     if "BSD-3-Clause" in names:
         names.discard("BSD-2-Clause")
+    if len(names) > 1:
+        names.discard("Proprietary")
     return ids, sorted(names), bool(ids) and not names
 
 
@@ -181,6 +253,8 @@ def test_against_brute_force(spark):
                 del lines[rng.randrange(len(lines))]
             parts.append(rng.choice(["\n", "\r\n"]).join((mark + x).rstrip() for x in lines))
         texts.append(rng.choice(["\n", "\n\n", "; ", " "]).join(parts))
+    texts += [t for t, n in STANDARD if not n] + [f"{BSD2[:165]}\n\nx", GPL.split("\n\n")[1], "SPDX-License-Identifier: MIT-like, Own+ or MIT", "\nFoo bar is free software; you can\n"]
+    texts += [f"SPDX-License-Identifier: {rng.choice('( ')}{' '.join(rng.choice([*license.SPDX_NAMES, 'or', 'AND', 'GPL-2.0+', 'Own', 'WITH']) for _ in range(4))}\nx" for _ in range(60)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: (list(r.license.ids), list(r.license.licenses), r.license.unclear) for r in license.scan(rows).collect()}
     wrong = [(t, got[i], brute(t)) for i, t in enumerate(texts) if got[i] != tuple(brute(t))]
