@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import bank, budget, hierarchy, index, mixture, refinement
+from ..operators import bank, budget, hierarchy, index, mixture, refinement, resuming
 from ..sources.scratch import kept, new_path
 from ..streaming import admission
 from .members import rounded
@@ -215,6 +216,30 @@ def tree_build(spark, sf):
     return out
 
 
+#: A small budget and few rounds: what is asked of it is that levels are used again, not how good they are.
+RESUMED = hierarchy.TreeConfig(mixture=mixture.MixtureConfig(min_effective=5.0, restarts=1, rounds=8), token_budget=2_000, most_dims=8, most_levels=3)
+
+
+@query("""SELECT unnest(['items of level 0', 'mass of level 0', 'levels made again by an equal run', 'levels made again after a stop', 'communities unlike those of an unbroken run', 'levels kept after a changed vector', 'faults of kept levels']) AS what,
+unnest([count(*), count(*), 0, 0, 0, 0, 0])::DOUBLE AS value FROM embeddings""")
+def build_resumed(spark, sf):
+    """A build that stops after its first level and goes on, against one without a stop; then equal and changed input."""
+    items = kept(vectors(spark, sf).select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("item_id"), F.lit(0).alias("level"), "vec", F.lit(1.0).alias("support_mass"), (20 + F.col("vec_id") % 30).cast("long").alias("tokens")))
+    at, other = new_path(spark, "build"), new_path(spark, "build")
+    first, _ = resuming.build(spark, items, dataclasses.replace(RESUMED, most_levels=1), at)
+    layers, on = resuming.build(spark, items, RESUMED, at)
+    _, again = resuming.build(spark, items.repartition(3), RESUMED, at)
+    whole, _ = resuming.build(spark, items, RESUMED, other)
+    named = lambda ls: [x.communities.select("level", "community_id", "size", F.round("support_mass", 6).alias("mass")) for x in ls if x.communities is not None]
+    unlike = sum(a.exceptAll(b).count() + b.exceptAll(a).count() for a, b in zip(named(layers), named(whole))) + abs(len(layers) - len(whole))
+    faults = sum(resuming.level_faults(below, x).count() for below, x in zip([items, *(x.cards for x in layers)], layers) if x.members is not None)
+    changed = items.withColumn("vec", F.when(F.col("item_id") == items.agg(F.min("item_id")).first()[0], F.transform("vec", lambda x: -x)).otherwise(F.col("vec")))
+    _, anew = resuming.build(spark, changed, dataclasses.replace(RESUMED, most_levels=1), at)
+    counted = items.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.sum("support_mass"), F.lit(0.0)).alias("mass")).first()
+    told = [("items of level 0", counted.n), ("mass of level 0", counted.mass), ("levels made again by an equal run", sum(again)), ("levels made again after a stop", sum(on[: len(first)])), ("communities unlike those of an unbroken run", unlike), ("levels kept after a changed vector", len(anew) - sum(anew)), ("faults of kept levels", faults)]
+    return spark.createDataFrame([(w, float(v)) for w, v in told], "what string, value double")
+
+
 @query("""SELECT d.doc_id, sha256(lower(trim(b.text))) AS term_sha256, CASE WHEN regexp_matches(b.text, '[0-9]') THEN 'contains_digit' ELSE 'text' END AS term_class FROM documents d JOIN (SELECT DISTINCT text FROM benchmark) b ON contains(lower(d.text), lower(trim(b.text)))
 WHERE regexp_matches(lower(d.text), CASE WHEN regexp_matches(trim(b.text), '^[\\p{L}\\p{N}](?s:.*)[\\p{L}\\p{N}]$') THEN '(^|[^\\p{L}\\p{N}_])' || regexp_escape(lower(trim(b.text))) || '($|[^\\p{L}\\p{N}_])' ELSE regexp_escape(lower(trim(b.text))) END)""")
 def leak_audit(spark, sf):
