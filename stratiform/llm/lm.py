@@ -38,6 +38,8 @@ from .shingles import word_runs
 FOLDS, HELD_OUT, TUNING = 10, 0, 1
 #: Tokens after which a block is closed.
 BLOCK_TOKENS = 1 << 20
+#: Tokens of a block of which estimates are held at once.
+PART_TOKENS = 1 << 17
 #: Keys that a task of a hash range gets on average.
 RANGE_KEYS = 1 << 20
 BUCKETS = 12
@@ -154,6 +156,7 @@ def _ask(table: DataFrame, ranges: dict[int, int]) -> DataFrame:
                 out = _sent(1, x.vocab, *x.counts(x.tokens, len(x.vocab)), ranges[1])
                 _, keys, place = x.pairs()
                 out += _sent(2, keys, *x.counts(place, len(keys)), ranges[2])
+                del x, keys, place  # before the next block's are made
                 yield pd.DataFrame(out, columns=["kind", "range", "keys", "main", "tune"]).assign(block=row.block)
 
     return table.mapInPandas(run, "kind int, range int, keys binary, main binary, tune binary, block long")
@@ -185,21 +188,29 @@ class _Totals:
         for a in sorted(answers, key=lambda a: a["range"]):
             by[a["kind"]].append(a)
         join = lambda k, c: np.concatenate([_unpack(a[c], np.uint64) for a in by[k]]).astype(np.float64)
-        word_main, word_tune, pair_main, pair_tune = join(1, "main"), join(1, "tune"), join(2, "main"), join(2, "tune")
-        _, _, place = x.pairs()
-        self.word = (word_main[x.tokens], word_tune[x.tokens])
-        self.pair = (pair_main[place], pair_tune[place])
-
-    def estimates(self, n: float, texts: float, v: float, main_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: bucket of the previous token, and the pair's and the token's own estimate."""
-        word = self.word[0] if main_only else self.word[0] + self.word[1]
-        pair = self.pair[0] if main_only else self.pair[0] + self.pair[1]
+        self.word = (join(1, "main"), join(1, "tune"))
+        self.pair = (join(2, "main"), join(2, "tune"))
+        self.place = x.pairs()[2].astype(np.int32)
+
+    def parts(self) -> Iterator[slice]:
+        """The block's tokens, some at a time."""
+        n = len(self.block.tokens)
+        return (slice(lo, min(n, lo + PART_TOKENS)) for lo in range(0, n, PART_TOKENS))
+
+    def estimates(self, part: slice, n: float, texts: float, v: float, main_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per token: bucket of the previous token, the pair's and the token's own estimate, and the token's count."""
+        of = lambda counts: counts[0] if main_only else counts[0] + counts[1]
+        x, words = self.block, of(self.word)
+        word, pair = words[x.tokens[part]], of(self.pair)[self.place[part]]
         before = np.empty(len(word))
         before[1:] = word[:-1]
-        before[self.block.first] = texts
+        if part.start:
+            before[0] = words[x.tokens[part.start - 1]]
+        begun = np.searchsorted(x.first, [part.start, part.stop])
+        before[x.first[begun[0] : begun[1]] - part.start] = texts
         p2 = np.divide(pair, before, out=np.zeros(len(pair)), where=before > 0)
         bucket = np.where(before > 0, 1 + np.minimum(BUCKETS - 2, np.log2(np.maximum(before, 1)) // 2), 0).astype(np.int64)
-        return bucket, p2, word / n if n else np.zeros(len(word))
+        return bucket, p2, word / n if n else np.zeros(len(word)), word
 
 
 def _bin(p: np.ndarray) -> np.ndarray:
@@ -259,11 +270,13 @@ def score(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def tuning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():
-                t = _Totals(row, row.answers)
-                bucket, p2, p1 = t.estimates(n_main, begun_main, v, True)
-                at = t.block.of_token == TUNING
-                key = (bucket[at] * BINS + _bin(p2[at])) * BINS + _bin(p1[at])
-                keys, n = np.unique(key, return_counts=True)
+                t, found = _Totals(row, row.answers), []
+                for part in t.parts():
+                    bucket, p2, p1, _ = t.estimates(part, n_main, begun_main, v, True)
+                    at = t.block.of_token[part] == TUNING
+                    found.append((bucket[at] * BINS + _bin(p2[at])) * BINS + _bin(p1[at]))
+                keys, n = np.unique(np.concatenate(found), return_counts=True)
+                del t, found  # before the next block's are made
                 yield pd.DataFrame({"bucket": keys // BINS**2, "pair": keys // BINS % BINS, "token": keys % BINS, "n": n})
 
     counted = known.mapInPandas(tuning, "bucket long, pair long, token long, n long").groupBy("bucket", "pair", "token").agg(F.sum("n").alias("n")).collect()
@@ -274,14 +287,18 @@ def score(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for row in b.itertuples():
                 t = _Totals(row, row.answers)
                 x = t.block
-                count = t.word[0] + t.word[1]
-                base = np.log10((count + ALPHA) / (n_all + ALPHA * (v + 1)))
-                bucket, p2, p1 = t.estimates(n_all, begun_all, v, False)
-                w = weights[bucket]
-                model = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1))
+                base, model, seen = (np.empty(len(x.tokens), kind) for kind in (np.float64, np.float64, np.int64))
+                for part in t.parts():
+                    bucket, p2, p1, count = t.estimates(part, n_all, begun_all, v, False)
+                    base[part] = np.log10((count + ALPHA) / (n_all + ALPHA * (v + 1)))
+                    w = weights[bucket]
+                    model[part] = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1))
+                    seen[part] = count > 0
+                del t
                 add = lambda a: np.add.reduceat(a, x.first)
                 ids = pd.Series(x.ids).astype("Int64").mask(x.none)
-                yield pd.DataFrame({"doc_id": ids, "held_out": x.folds == HELD_OUT, "n_tokens": x.n, "n_known": add((count > 0).astype(np.int64)), "train_tokens": n_all, "base_score": add(base), "score": add(model)})
+                yield pd.DataFrame({"doc_id": ids, "held_out": x.folds == HELD_OUT, "n_tokens": x.n, "n_known": add(seen), "train_tokens": n_all, "base_score": add(base), "score": add(model)})
+                del x, base, model, seen  # before the next block's are made
 
     scratch.forget(table, answers)
     return known.mapInPandas(apply, SCORED)

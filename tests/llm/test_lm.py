@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from stratiform.llm import lm
@@ -91,3 +92,27 @@ def test_edges(edge_docs, no_docs):
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
     assert {r.doc_id: r.n_tokens for r in rows}[1] == 1
     assert lm.score(no_docs).count() == 0
+
+
+def test_estimates_of_a_block_come_in_parts_and_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, ids = 3000, np.arange(40)
+    sizes = np.bincount(rng.integers(0, 40, n), minlength=40)
+    texts, tokens, vocab = np.stack([ids, 0 * ids, sizes], axis=1), rng.integers(0, 90, n).astype(np.int32), np.sort(rng.integers(1, 1 << 63, 90).astype(np.uint64))
+    packed = [lm._pack(a) for a in (texts.astype(np.int64).ravel(), tokens, vocab)]
+    x = lm._Block(*packed)
+    _, keys, place = x.pairs()
+    sent = [*lm._sent(1, vocab, *x.counts(x.tokens, len(vocab)), 2), *lm._sent(2, keys, *x.counts(place, len(keys)), 3)]
+    asked = pd.DataFrame(sent, columns=["kind", "range", "keys", "main", "tune"]).assign(block=0)
+    answers = pd.concat(lm._answer(g) for _, g in asked.groupby(["kind", "range"])).to_dict("records")
+    row = pd.DataFrame([packed], columns=["texts", "tokens", "vocab"]).iloc[0]
+
+    t = lm._Totals(row, answers)
+    whole = [t.estimates(slice(0, n), 2700.0, 30.0, 90.0, main) for main in (True, False)]
+    monkeypatch.setattr(lm, "PART_TOKENS", 101)
+    for main, want in zip((True, False), whole):
+        got = [t.estimates(part, 2700.0, 30.0, 90.0, main) for part in t.parts()]
+        assert max(len(g[0]) for g in got) == 101
+        for a, b in zip(zip(*got), want):
+            assert np.array_equal(np.concatenate(a), b)
+    assert whole[1][3].tolist() == np.bincount(x.tokens[x.of_token != lm.HELD_OUT], minlength=90)[x.tokens].tolist()
