@@ -6,6 +6,7 @@ import functools
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -193,29 +194,46 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Texts of which tokens are held at once.
+ENCODED_TEXTS = 256
+
+
+def _ids(texts: pd.Series, path: str) -> Iterator[list[int]]:
+    """Ids of each text, without what the tokenizer could tell of their places."""
+    for lo in range(0, len(texts), ENCODED_TEXTS):
+        for e in _tokenizer(path).encode_batch_fast(texts.iloc[lo : lo + ENCODED_TEXTS].fillna("").tolist(), add_special_tokens=False):
+            yield e.ids
+
+
 def model_token_count(text: Column, path: str) -> Column:
     """Tokens of a text by a tokenizer file that every executor can open."""
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(e.ids) for e in _tokenizer(path).encode_batch_fast(texts.fillna("").tolist(), add_special_tokens=False)], dtype="int64")
+        return pd.Series([len(ids) for ids in _ids(texts, path)], dtype="int64")
 
     return count(text)
 
 
 def model_truncated(text: Column, most: int, path: str, strategy: str = "head") -> Column:
     """A text cut to ``most`` tokens at its head, its tail, or both ends; a shorter one as it is."""
+    return model_cut(text, most, path, strategy)["cut"]
+
+
+def model_cut(text: Column, most: int, path: str, strategy: str = "head") -> Column:
+    """Struct (tokens, cut) of ``model_token_count`` and ``model_truncated``, for which a text is encoded once."""
     if strategy not in ("head", "tail", "head_tail"):
         raise ValueError(f"unknown way to truncate: {strategy}")
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        tok, out = _tokenizer(path), []
-        for t, e in zip(texts, tok.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)):
-            ids, n = e.ids, len(e.ids)
-            first = {"head": most, "tail": 0, "head_tail": most // 2}[strategy]
+    @F.pandas_udf("tokens long, cut string")
+    def cut(texts: pd.Series) -> pd.DataFrame:
+        tok, out, counts = _tokenizer(path), [], []
+        first = {"head": most, "tail": 0, "head_tail": most // 2}[strategy]
+        for t, ids in zip(texts, _ids(texts, path)):
+            n = len(ids)
+            counts.append(n)
             out.append(t if n <= most else tok.decode(ids[:first] + ids[n - (most - first) :]))
-        return pd.Series(out)
+        return pd.DataFrame({"tokens": pd.Series(counts, dtype="int64"), "cut": pd.Series(out, dtype=object)})
 
     return cut(text)
 

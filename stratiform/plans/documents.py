@@ -226,7 +226,7 @@ def model_tokens(spark, sf):
 
     at = public_tokenizers.path("byte_bpe_50k.json")
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return d.select("doc_id", payload.model_token_count(c("text"), at).alias("tokens"), payload.model_truncated(c("text"), 40, at, "head_tail").alias("cut"))
+    return d.select("doc_id", payload.model_cut(c("text"), 40, at, "head_tail").alias("m")).select("doc_id", "m.tokens", "m.cut")
 
 
 @query()
