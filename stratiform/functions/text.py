@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 import sys
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD_OR_MARK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 BANK_TOKEN = r"[a-z0-9_\x{4e00}-\x{9fff}]+"
@@ -17,23 +19,15 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"\A\s+|\s+\z", "")
 
 
-@functools.cache
-def _folds() -> tuple[str, str, dict[str, str]]:
-    """Characters that folding changes, by what they become: two strings of equal length, and those that become several."""
-    changed = {c: f for c in map(chr, range(sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff" and (f := c.casefold()) != c}
-    single = {c: f for c, f in changed.items() if len(f) == 1}
-    return "".join(single), "".join(single.values()), {c: f for c, f in changed.items() if len(f) > 1}
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.str.casefold()
 
 
 def case_folded(text: Column) -> Column:
-    """Full case folding of Unicode: ß is ss, ﬁ is fi, a final sigma is any sigma. ASCII takes the short way."""
-    old, new, several = _folds()
-    folded = F.translate(text, old, new)
-    long = folded
-    for c, f in several.items():
-        long = F.replace(long, F.lit(c), F.lit(f))
-    has = text.rlike("[" + "".join(several) + "]")
-    return F.when(~text.rlike("[^\\x00-\\x7F]"), F.lower(text)).when(has, long).otherwise(folded)
+    """Full case folding of Unicode: ß is ss, ﬁ is fi, a final sigma is any sigma. ASCII takes the short way, and is not sent to Python."""
+    ascii = F.octet_length(text) == F.length(text)
+    return F.when(ascii, F.lower(text)).otherwise(_folded(F.when(~ascii, text)))
 
 
 @functools.cache
@@ -51,8 +45,8 @@ def simple_folded(text: Column) -> Column:
 
 
 def text_key(text: Column) -> Column:
-    """Key under which two texts count as the same: white space collapsed, case folded."""
-    return case_folded(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    """Key under which two texts count as the same: white space collapsed, case folded (which makes and changes no white space)."""
+    return F.trim(F.regexp_replace(case_folded(text), r"\s+", " "))
 
 
 def word_tokens(text: Column) -> Column:
