@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import sys
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ WORD_OR_MARK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 BANK_TOKEN = r"[a-z0-9_\x{4e00}-\x{9fff}]+"
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` where ``value`` is computed once a row, however often ``of`` names it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def stripped(text: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(text, r"\A\s+|\s+\z", "")

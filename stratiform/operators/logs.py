@@ -97,25 +97,36 @@ def result_fields(row: Column) -> Column:
     Counts come from the cases where the row gives none; the hard score from the counts, else from
     success or passed; the score is the soft one, else the share of cases, else whether it passed.
     """
-    number = lambda f: F.get_json_object(row, f"$.{f}").try_cast("double")
+    none = F.struct(F.lit(False).alias("success"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("feedback"))
     some = lambda x: F.when(F.size(x) > 0, x)
-    cases = F.coalesce(some(_elements(F.get_json_object(row, "$.test_cases"))), some(_elements(F.get_json_object(row, "$.cases"))))
-    passed_case = lambda c: _yes(_get(c, *CASE_FIELDS))
-    n, ok = F.size(cases).cast("double"), F.size(F.filter(cases, passed_case)).cast("double")
-    n, ok = F.when(cases.isNotNull(), n), F.when(cases.isNotNull(), ok)
-    total, passed = F.coalesce(number("total_count"), n), F.coalesce(number("passed_count"), ok)
-    soft = F.coalesce(number("soft_score"), ok / n, F.when(total != 0, passed / total))
-    flags = _yes(F.get_json_object(row, "$.success")) | _yes(F.get_json_object(row, "$.passed"))
-    flag = F.when(F.get_json_object(row, "$.success").isNotNull(), _yes(F.get_json_object(row, "$.success"))).otherwise(_yes(F.get_json_object(row, "$.passed")))
-    counted = F.when(passed.isNotNull() & total.isNotNull(), (passed.cast("long") == total.cast("long")) & (total.cast("long") > 0))
-    hard = F.coalesce(number("hard_score"), counted.cast("double"), flag.cast("double"))
-    success = (hard >= 1) | flags
-    notes = F.transform(F.coalesce(cases, F.array().cast("array<string>")), lambda c: _filled(c, "message", "error"))
-    notes = F.slice(F.filter(notes, lambda x: x.isNotNull() & (T.stripped(x) != "")), 1, MOST_CASE_NOTES)
-    feedback = F.array_join(F.filter(F.concat(F.array(_filled(row, "error"), _filled(row, "message")), notes), lambda x: x.isNotNull()), "; ")
-    return F.when(row.isNull(), F.struct(F.lit(False).alias("success"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("feedback"))).otherwise(
-        F.struct(success.alias("success"), F.coalesce(soft, success.cast("double")).alias("score"), F.nullif(feedback, F.lit("")).alias("feedback"))
-    )
+
+    def of_row(row: Column) -> Column:
+        cases = F.coalesce(*(T.once(_elements(F.get_json_object(row, f"$.{f}")), some) for f in ("test_cases", "cases")))
+        return T.once(F.struct(cases.alias("cases")), lambda c: of_cases(row, c["cases"]))
+
+    def of_cases(row: Column, cases: Column) -> Column:
+        passed_case = lambda c: T.once(_get(c, *CASE_FIELDS), _yes)
+        said = {f"_{f}": F.get_json_object(row, f"$.{f}") for f in ("success", "passed")}
+        counts = {
+            "n": F.when(cases.isNotNull(), F.size(cases).cast("double")),
+            "ok": F.when(cases.isNotNull(), F.size(F.filter(cases, passed_case)).cast("double")),
+            **{f: F.get_json_object(row, f"$.{f}").try_cast("double") for f in ("total_count", "passed_count", "soft_score", "hard_score")},
+        }
+        return T.once(F.struct(*(v.alias(k) for k, v in (said | counts).items())), lambda g: scored(row, cases, g))
+
+    def scored(row: Column, cases: Column, g: Column) -> Column:
+        total, passed = F.coalesce(g["total_count"], g["n"]), F.coalesce(g["passed_count"], g["ok"])
+        soft = F.coalesce(g["soft_score"], g["ok"] / g["n"], F.when(total != 0, passed / total))
+        flag = F.when(g["_success"].isNotNull(), _yes(g["_success"])).otherwise(_yes(g["_passed"]))
+        counted = F.when(passed.isNotNull() & total.isNotNull(), (passed.cast("long") == total.cast("long")) & (total.cast("long") > 0))
+        hard = F.coalesce(g["hard_score"], counted.cast("double"), flag.cast("double"))
+        success = (hard >= 1) | _yes(g["_success"]) | _yes(g["_passed"])
+        notes = F.transform(F.coalesce(cases, F.array().cast("array<string>")), lambda c: _filled(c, "message", "error"))
+        notes = F.slice(F.filter(notes, lambda x: x.isNotNull() & (T.stripped(x) != "")), 1, MOST_CASE_NOTES)
+        feedback = F.array_join(F.filter(F.concat(F.array(_filled(row, "error"), _filled(row, "message")), notes), lambda x: x.isNotNull()), "; ")
+        return T.once(success, lambda s: F.struct(s.alias("success"), F.coalesce(soft, s.cast("double")).alias("score"), F.nullif(feedback, F.lit("")).alias("feedback")))
+
+    return F.when(row.isNull(), none).otherwise(T.once(row, of_row))
 
 
 # ---- records of logs ---------------------------------------------------------------------------
