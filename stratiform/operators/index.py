@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import dataclasses
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from . import bank
 
 #: Size of all centres, which every task gets: bounds the number of cells, 4096 of them at 512 dimensions.
 MODEL_BYTES = 1 << 24
+#: Scores of vectors by cells that a task holds at once, and so the most (query, cell) pairs in a batch.
+SCORES = 1 << 17
 #: Blocks of a cell in one file.
 FILE_BLOCKS = 16
 #: How far a bound may lie under a score before its cell is left out: rankings go by nine digits.
@@ -61,6 +64,19 @@ def _units(vecs: pd.Series) -> np.ndarray:
     return x / np.where(n <= V.TINY_NORM, 1.0, n)
 
 
+def _few(batches: Iterator[pd.DataFrame], cells: int) -> Iterator[pd.DataFrame]:
+    """Rows few enough at a time that their scores to all cells are ``SCORES`` at most."""
+    step = max(1, SCORES // max(1, cells))
+    for b in batches:
+        for lo in range(0, len(b), step):
+            yield b.iloc[lo : lo + step]
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    step = max(1, SCORES // len(centres))
+    return np.concatenate([np.argmax(x[lo : lo + step] @ centres.T, axis=1) for lo in range(0, len(x), step)])
+
+
 def fitted_centres(nodes: DataFrame, cells: int, cfg: IndexConfig) -> np.ndarray:
     """At most ``cells`` unit centres by spherical K-means over the sample, in one task."""
     some = nodes.select("node_id", "vec").orderBy(F.xxhash64("node_id", F.lit(cfg.seed)), "node_id").limit(cfg.sample).coalesce(1)
@@ -73,7 +89,7 @@ def fitted_centres(nodes: DataFrame, cells: int, cfg: IndexConfig) -> np.ndarray
         rng = np.random.default_rng(cfg.seed)
         centres = x[rng.permutation(len(x))[:cells]]
         for _ in range(cfg.rounds):
-            near = np.argmax(x @ centres.T, axis=1)
+            near = _nearest(x, centres)
             sums = np.zeros_like(centres)
             np.add.at(sums, near, x)
             length = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -146,14 +162,12 @@ def ensured(nodes: DataFrame, path: str, model: str, protocol: str, cfg: IndexCo
     centres = fitted_centres(nodes, max(1, min(wanted, MODEL_BYTES // (8 * dims))), cfg)
 
     def assign(batches):
-        for b in batches:
-            if not len(b):
-                continue
+        for b in _few(batches, len(centres)):
             x = _units(b.vec)
             s = x @ centres.T
             near = np.argmax(s, axis=1)
             angle = np.arccos(np.clip(s[np.arange(len(x)), near], -1, 1))
-            yield pd.DataFrame({"node_id": b.node_id, "cell": near.astype(np.int32), "unit": [v.tobytes() for v in x], "angle": angle})
+            yield pd.DataFrame({"node_id": b.node_id.to_numpy(), "cell": near.astype(np.int32), "unit": [v.tobytes() for v in x], "angle": angle})
 
     assigned = kept(nodes.mapInPandas(assign, "node_id long, cell int, unit binary, angle double"))
     counts = assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).withColumn("shares", _shares(F.col("n")))
@@ -211,9 +225,7 @@ def searched(index: Index, queries: DataFrame, k: int, probes: int = 8, exact: b
         return first
 
     def chosen(batches):
-        for b in batches:
-            if not len(b):
-                continue
+        for b in _few(batches, len(centres)):
             x = _units(b.vec)
             s = x @ centres.T
             meets = near(s)
