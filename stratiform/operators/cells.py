@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def column_number(name: Column) -> Column:
     """A is 1, Z is 26, AA is 27."""
@@ -86,9 +88,18 @@ def same_cell(a: Column, b: Column) -> Column:
         return F.when(c["kind"] == "time", F.left(c["value"], F.greatest(F.lit(0), F.length(c["value"]) - 3))).when(c["kind"] == "text", c["value"])
 
     empty = lambda c: c.isNull() | c["kind"].isNull() | c["value"].isNull() | ((c["kind"] == "text") & (c["value"] == ""))
-    x, y = number(a), number(b)
-    numeric = F.when(x.isNotNull() & y.isNotNull(), (x == y) & ~F.isnan(x)).when(x.isNotNull() | y.isNotNull(), F.lit(False))
-    return F.when(empty(a) | empty(b), empty(a) & empty(b)).otherwise(F.coalesce(numeric, text(a) == text(b), F.lit(False)))
+
+    def told(n: Column, c: Column) -> Column:
+        x, y = n["x"], n["y"]
+        numeric = F.when(x.isNotNull() & y.isNotNull(), (x == y) & ~F.isnan(x)).when(x.isNotNull() | y.isNotNull(), F.lit(False))
+        return F.coalesce(numeric, text(c["a"]) == text(c["b"]), F.lit(False))
+
+    def pair(c: Column) -> Column:
+        x, y = c["a"], c["b"]
+        numbers = F.struct(number(x).alias("x"), number(y).alias("y"))
+        return F.when(empty(x) | empty(y), empty(x) & empty(y)).otherwise(T.once(numbers, lambda n: told(n, c)))
+
+    return T.once(F.struct(a.alias("a"), b.alias("b")), pair)
 
 
 def cell(kind: str | Column, value: Column) -> Column:
