@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from stratiform.functions import vectors as V
 from stratiform.operators import refinement
+from stratiform.streaming import propagation
 
 
 def test_means_spread_and_projection_are_those_of_numpy(spark, monkeypatch):
@@ -22,3 +23,10 @@ def test_means_spread_and_projection_are_those_of_numpy(spark, monkeypatch):
 def test_packs_beyond_a_thousand_keep_their_own_names(spark):
     rows = spark.range(1100).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("item_id"), F.lit("C").alias("community_id"), F.lit(1.0).alias("w"), F.lit(5).cast("long").alias("tokens"))
     assert refinement.packs_of(rows, 5).select("community_id").distinct().count() == 1100
+
+
+def test_vectors_come_to_length_one_within_the_projection(spark):
+    x = [[3.0, 4.0], [0.0, 0.0], None, [0.0, -2.0]]
+    items = spark.createDataFrame([(i, 1.0, v) for i, v in enumerate(x)], "item_id long, support_mass double, vec array<float>")
+    got = {r.item_id: r.x for r in propagation.projected_arrivals(items, [0.1, 0.2], [[1.0, 1.0]]).collect()}
+    assert got[2] is None and np.allclose([got[0][0], got[1][0], got[3][0]], [1.1, -0.3, -1.3])
